@@ -12,8 +12,6 @@ MODE_SINGLE, MODE_GROUP, MODE_COMPATIBLE = "S", "R", "C"
 CONTROL_BY_WEIGHT, CONTROL_BY_VALUE = "P", "V"
 CHECK_MANDATORY, CHECK_OPTIONAL = 1, 2
 
-PAIR_TYPE = "array<struct<ColumnName:string,Code:string>>"
-
 
 def unpivot_attributes(df: DataFrame, id_columns: list[str]) -> DataFrame:
     """(ids, ColumnName, Code): one row per attribute that is neither null nor blank."""
@@ -28,14 +26,6 @@ def attribute_block() -> Column:
     return _non_blank(F.array(*pairs))
 
 
-def attribute_sets(sets: dict[str, Column]) -> Column:
-    """Distinct codes per attribute column as one sorted array of (ColumnName, Code)."""
-    def named(name: str, codes: Column) -> Column:
-        return F.transform(F.array_sort(codes), lambda c: F.struct(F.lit(name).alias("ColumnName"), c.alias("Code")))
-
-    return _non_blank(F.flatten(F.array(*[named(name, codes) for name, codes in sets.items()])))
-
-
 def _non_blank(pairs: Column) -> Column:
     return F.filter(pairs, lambda p: p["Code"].isNotNull() & (F.rtrim(p["Code"]) != ""))
 

@@ -89,7 +89,7 @@ def with_subject(resolved: DataFrame) -> DataFrame:
 def distinct_subjects(resolved: DataFrame) -> DataFrame:
     """(subject, listed): one row per subject, with its explicit jobs where it has a list."""
     listed = F.when(has_jobs_list(), F.array_sort(F.array_distinct(F.filter("jobs", lambda j: j.isNotNull()))))
-    return resolved.select("subject", listed.alias("listed")).distinct()
+    return resolved.groupBy("subject").agg(F.any_value(listed).alias("listed"))
 
 
 # --- jobs and parts -------------------------------------------------------------------------------------------
@@ -145,25 +145,52 @@ def part_qualities(parts: DataFrame, tables: Tables, key: str = "request_id") ->
 # --- requirements per subject ---------------------------------------------------------------------------------
 
 def subject_sets(subjects: DataFrame, tables: Tables) -> DataFrame:
-    """One row per subject: counts, and the distinct thicknesses, grade demands and attribute codes of its parts."""
+    """One row per subject: counts, and the distinct thicknesses, grade demands and attribute codes of its parts.
+
+    Each part is unfolded into its few facts.  Equal facts of a subject are
+    counted before and after one shuffle, however many parts state them, so what
+    is finally collected per subject is bounded by the catalogues.
+    """
     key = "subject"
     jobs = jobs_of_subjects(subjects, tables)
     rows = left_lookup(part_rows(jobs.where(F.col("idlav").isNotNull()), tables, key),
                        tables["a_par"].select("pacod", "padz1"), {"pacod": "pacod"}, "idrow")
-    demand = F.when(F.col("comparingmode").isNotNull(), F.struct("qualitycode", "comparingmode"))
-    # Sets of catalogue codes only: their size follows the catalogue, not the number of parts.
-    grouped = rows.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_parts"),
-        F.array_sort(F.collect_set("padz1")).alias("thicknesses"),
-        F.array_sort(F.collect_set(demand)).alias("demands"),
-        *[F.collect_set(a).alias(a) for a in ALPHAS],
-    )
-    codes = cat.attribute_sets(dict(zip(ALPHA_NAMES, map(F.col, ALPHAS))))
+    stated = rows.select(key, F.explode(_facts()).alias("fact")).groupBy(key, "fact").agg(F.count(F.lit(1)).alias("n"))
+    grouped = stated.groupBy(key).agg(
+        F.max(F.when(F.col("fact.kind") == PART, F.col("n"))).alias("n_parts"),
+        F.array_sort(F.collect_list("fact")).alias("facts"))
     counted = jobs.groupBy(key).agg(F.count("idlav").alias("n_jobs"))
+
+    def of_kind(kind: str, build) -> Column:
+        return F.transform(F.filter("facts", lambda f: f["kind"] == kind), build)
+
     return counted.join(grouped, key, "left").select(
         key, "n_jobs", F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
-        F.coalesce("thicknesses", F.array().cast("array<double>")).alias("thicknesses"), "demands",
-        codes.alias("codes"))
+        F.coalesce(of_kind(GAUGE, lambda f: f["size"]), F.array().cast("array<double>")).alias("thicknesses"),
+        of_kind(DEMAND, lambda f: F.struct(f["name"].alias("qualitycode"), f["value"].alias("comparingmode"))).alias("demands"),
+        of_kind(ATTRIBUTE, lambda f: F.struct(f["name"].alias("ColumnName"), f["value"].alias("Code"))).alias("codes"))
+
+
+PART, GAUGE, DEMAND, ATTRIBUTE = "part", "gauge", "demand", "attribute"
+
+
+def _facts() -> Column:
+    """What one part states: itself, its thickness, its grade demand, its attribute codes."""
+
+    def fact(kind: str, when: Column, name: Column | None = None, value: Column | None = None,
+             size: Column | None = None) -> Column:
+        return F.when(when, F.struct(
+            F.lit(kind).alias("kind"), (F.lit(None) if name is None else name).cast("string").alias("name"),
+            (F.lit(None) if value is None else value).cast("string").alias("value"),
+            (F.lit(None) if size is None else size).cast("double").alias("size")))
+
+    codes = [fact(ATTRIBUTE, F.col(a).isNotNull() & (F.rtrim(F.col(a)) != ""), F.lit(n), F.col(a))
+             for a, n in zip(ALPHAS, ALPHA_NAMES)]
+    return F.array_compact(F.array(
+        fact(PART, F.lit(True)),
+        fact(GAUGE, F.col("padz1").isNotNull(), size=F.col("padz1")),
+        fact(DEMAND, F.col("comparingmode").isNotNull(), F.col("qualitycode"), F.col("comparingmode")),
+        *codes))
 
 
 def subject_requirements(sets: DataFrame, tables: Tables) -> DataFrame:

@@ -14,8 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Split a skewed join side even where that costs one more shuffle further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # Set-valued aggregates hold a few catalogue codes per group, so many groups fit the hash map.
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # Hash instead of sort where every partition turned out small enough.
+    "spark.sql.adaptive.maxShuffledHashJoinLocalMapThreshold": "64MB",
 }
 
 
