@@ -94,7 +94,7 @@ def _diff(d: Domain) -> DataFrame:
 def _jobs(d: Domain) -> DataFrame:
     resolved = requirements.with_subject(
         requirements.resolve_plan(requirements.normalize_requests(d.requests), d.tables))
-    jobs = requirements.jobs_of_subjects(requirements.distinct_subjects(resolved), d.tables).where("idlav IS NOT NULL")
+    jobs = requirements.jobs_of_subjects(requirements.distinct_subjects(resolved), d.tables)
     return resolved.select("request_id", "subject").join(jobs, "subject").select("request_id", "idlav")
 
 

@@ -15,7 +15,7 @@ def clean_parameter(column: Column) -> Column:
 
 def joined(values: Column, separator: str = "\n") -> Column:
     """Ascending joined list, null when there is nothing to join."""
-    return F.when(F.size(values) > 0, F.array_join(F.array_sort(values), separator))
+    return F.when(F.size(values) > 0, F.array_join(F.sort_array(values), separator))
 
 
 def contains_like(column: Column, search: str, case_sensitive: bool = True) -> Column:

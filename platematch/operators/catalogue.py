@@ -15,19 +15,15 @@ CHECK_MANDATORY, CHECK_OPTIONAL = 1, 2
 
 def unpivot_attributes(df: DataFrame, id_columns: list[str]) -> DataFrame:
     """(ids, ColumnName, Code): one row per attribute that is neither null nor blank."""
-    block = df.select(*id_columns, *[F.col(a).alias(n) for a, n in zip(ALPHAS, ALPHA_NAMES)])
+    block = df.selectExpr(*id_columns, *[f"{a} AS {n}" for a, n in zip(ALPHAS, ALPHA_NAMES)])
     long = block.unpivot(id_columns, list(ALPHA_NAMES), "ColumnName", "Code")
-    return long.where(F.col("Code").isNotNull() & (F.rtrim("Code") != ""))
+    return long.where("rtrim(Code) <> ''")
 
 
 def attribute_block() -> Column:
     """The non-blank attributes of a row as one array of (ColumnName, Code), in column order."""
-    pairs = [F.struct(F.lit(n).alias("ColumnName"), F.col(a).alias("Code")) for a, n in zip(ALPHAS, ALPHA_NAMES)]
-    return _non_blank(F.array(*pairs))
-
-
-def _non_blank(pairs: Column) -> Column:
-    return F.filter(pairs, lambda p: p["Code"].isNotNull() & (F.rtrim(p["Code"]) != ""))
+    pairs = ", ".join(f"named_struct('ColumnName', '{n}', 'Code', {a})" for a, n in zip(ALPHAS, ALPHA_NAMES))
+    return F.expr(f"filter(array({pairs}), p -> coalesce(rtrim(p.Code) <> '', false))")
 
 
 def attribute_catalogue(tables: dict[str, DataFrame]) -> DataFrame:

@@ -76,7 +76,7 @@ def resolve_plan(requests: DataFrame, tables: Tables) -> DataFrame:
 
 def with_subject(resolved: DataFrame) -> DataFrame:
     """Adds ``subject``: an exact key for where the jobs come from (job list, else plan, else ticket)."""
-    listed = F.array_sort(F.array_distinct(F.filter("jobs", lambda j: j.isNotNull())))
+    listed = F.sort_array(F.array_distinct(F.filter("jobs", lambda j: j.isNotNull())))
     return resolved.withColumn(
         "subject",
         F.when(has_jobs_list(), F.concat(F.lit("J"), F.array_join(listed, ",")))
@@ -88,29 +88,28 @@ def with_subject(resolved: DataFrame) -> DataFrame:
 
 def distinct_subjects(resolved: DataFrame) -> DataFrame:
     """(subject, listed): one row per subject, with its explicit jobs where it has a list."""
-    listed = F.when(has_jobs_list(), F.array_sort(F.array_distinct(F.filter("jobs", lambda j: j.isNotNull()))))
+    listed = F.when(has_jobs_list(), F.sort_array(F.array_distinct(F.filter("jobs", lambda j: j.isNotNull()))))
     return resolved.groupBy("subject").agg(F.any_value(listed).alias("listed"))
 
 
 # --- jobs and parts -------------------------------------------------------------------------------------------
 
-def job_links(tables: Tables) -> DataFrame:
-    """(subject, idlav): jobs by plan and by launched ticket, keyed the way subjects are."""
-    steps = ["conum", "locod", "idfas"]
-    by_plan = tables["l_pcpa"].join(tables["a_lav"].select("idlav", *steps), steps).select(
-        F.concat(F.lit("P"), F.col("idptc").cast("string")).alias("subject"), "idlav")
-    by_ticket = tables["l_odla"].select(F.concat(F.lit("T"), F.col("olcod")).alias("subject"), "idlav")
-    return by_plan.unionByName(by_ticket).where(F.col("idlav").isNotNull())
-
-
 def jobs_of_subjects(subjects: DataFrame, tables: Tables) -> DataFrame:
-    """Distinct (subject, idlav); a subject without jobs keeps one row with a null job.
+    """Distinct (subject, idlav).
 
-    A subject's key says which branch applies to it, so one join serves plans
-    and tickets, and job lists match nothing there.
+    A subject's key says which branch applies to it, so it meets plan links and
+    ticket links by key and only its own kind matches.  Links are cut down to
+    the subjects before they meet the job table.
     """
-    found = subjects.join(job_links(tables), "subject", "left")
-    return found.select("subject", F.explode_outer(F.coalesce("listed", F.array("idlav"))).alias("idlav")).distinct()
+    steps = ["conum", "locod", "idfas"]
+    key = subjects.select("subject")
+    listed = subjects.where(F.col("listed").isNotNull()).select("subject", F.explode("listed").alias("idlav"))
+    plan_links = tables["l_pcpa"].select(F.concat(F.lit("P"), F.col("idptc").cast("string")).alias("subject"), *steps)
+    by_plan = plan_links.join(key, "subject").join(tables["a_lav"].select("idlav", *steps), steps).select(
+        "subject", "idlav")
+    ticket_links = tables["l_odla"].select(F.concat(F.lit("T"), F.col("olcod")).alias("subject"), "idlav")
+    by_ticket = ticket_links.join(key, "subject").select("subject", "idlav")
+    return listed.unionByName(by_plan).unionByName(by_ticket).where(F.col("idlav").isNotNull()).distinct()
 
 
 def part_rows(jobs: DataFrame, tables: Tables, key: str = "subject") -> DataFrame:
@@ -153,44 +152,39 @@ def subject_sets(subjects: DataFrame, tables: Tables) -> DataFrame:
     """
     key = "subject"
     jobs = jobs_of_subjects(subjects, tables)
-    rows = left_lookup(part_rows(jobs.where(F.col("idlav").isNotNull()), tables, key),
+    rows = left_lookup(part_rows(jobs, tables, key),
                        tables["a_par"].select("pacod", "padz1"), {"pacod": "pacod"}, "idrow")
-    stated = rows.select(key, F.explode(_facts()).alias("fact")).groupBy(key, "fact").agg(F.count(F.lit(1)).alias("n"))
+    stated = _facts(rows, key).groupBy(key, *_FACT).agg(F.count(F.lit(1)).alias("n"))
     grouped = stated.groupBy(key).agg(
-        F.max(F.when(F.col("fact.kind") == PART, F.col("n"))).alias("n_parts"),
-        F.array_sort(F.collect_list("fact")).alias("facts"))
-    counted = jobs.groupBy(key).agg(F.count("idlav").alias("n_jobs"))
+        F.max(F.when(F.col("kind") == PART, F.col("n"))).alias("n_parts"),
+        F.sort_array(F.collect_list(F.struct(*_FACT))).alias("facts"))
+    counted = jobs.groupBy(key).agg(F.count(F.lit(1)).alias("n_jobs"))
 
     def of_kind(kind: str, build) -> Column:
         return F.transform(F.filter("facts", lambda f: f["kind"] == kind), build)
 
-    return counted.join(grouped, key, "left").select(
-        key, "n_jobs", F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
+    return subjects.select(key).join(counted, key, "left").join(grouped, key, "left").select(
+        key, F.coalesce("n_jobs", F.lit(0).cast("bigint")).alias("n_jobs"), F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
         F.coalesce(of_kind(GAUGE, lambda f: f["size"]), F.array().cast("array<double>")).alias("thicknesses"),
         of_kind(DEMAND, lambda f: F.struct(f["name"].alias("qualitycode"), f["value"].alias("comparingmode"))).alias("demands"),
         of_kind(ATTRIBUTE, lambda f: F.struct(f["name"].alias("ColumnName"), f["value"].alias("Code"))).alias("codes"))
 
 
 PART, GAUGE, DEMAND, ATTRIBUTE = "part", "gauge", "demand", "attribute"
+_FACT = ["kind", "name", "value", "size"]
 
 
-def _facts() -> Column:
-    """What one part states: itself, its thickness, its grade demand, its attribute codes."""
-
-    def fact(kind: str, when: Column, name: Column | None = None, value: Column | None = None,
-             size: Column | None = None) -> Column:
-        return F.when(when, F.struct(
-            F.lit(kind).alias("kind"), (F.lit(None) if name is None else name).cast("string").alias("name"),
-            (F.lit(None) if value is None else value).cast("string").alias("value"),
-            (F.lit(None) if size is None else size).cast("double").alias("size")))
-
-    codes = [fact(ATTRIBUTE, F.col(a).isNotNull() & (F.rtrim(F.col(a)) != ""), F.lit(n), F.col(a))
-             for a, n in zip(ALPHAS, ALPHA_NAMES)]
-    return F.array_compact(F.array(
-        fact(PART, F.lit(True)),
-        fact(GAUGE, F.col("padz1").isNotNull(), size=F.col("padz1")),
-        fact(DEMAND, F.col("comparingmode").isNotNull(), F.col("qualitycode"), F.col("comparingmode")),
-        *codes))
+def _facts(rows: DataFrame, key: str) -> DataFrame:
+    """What each part states, one row per fact: itself, its thickness, its grade demand, its attribute codes."""
+    facts = [(PART, "NULL", "NULL", "NULL"), (GAUGE, "NULL", "NULL", "padz1"),
+             (DEMAND, "qualitycode", "comparingmode", "NULL"),
+             *((ATTRIBUTE, f"'{n}'", a, "NULL") for a, n in zip(ALPHAS, ALPHA_NAMES))]
+    entries = ", ".join(
+        f"'{kind}', CAST({name} AS STRING), CAST({value} AS STRING), CAST({size} AS DOUBLE)"
+        for kind, name, value, size in facts)
+    long = rows.selectExpr(key, f"stack({len(facts)}, {entries}) AS ({', '.join(_FACT)})")
+    return long.where(f"CASE kind WHEN '{PART}' THEN true WHEN '{GAUGE}' THEN size IS NOT NULL "
+                      f"WHEN '{DEMAND}' THEN value IS NOT NULL ELSE rtrim(value) <> '' END")
 
 
 def subject_requirements(sets: DataFrame, tables: Tables) -> DataFrame:
@@ -214,7 +208,7 @@ def admitted_by_demands(df: DataFrame, tables: Tables) -> DataFrame:
         .groupBy("demands", "Code")
         .agg(F.count_distinct("qualitycode", "comparingmode").alias("n"), F.max("Description").alias("Description"))
         .where(F.col("n") == F.size("demands"))
-        .groupBy("demands").agg(F.array_sort(F.collect_list(F.struct("Code", "Description"))).alias("admitted"))
+        .groupBy("demands").agg(F.sort_array(F.collect_list(F.struct("Code", "Description"))).alias("admitted"))
     )
 
 
@@ -228,13 +222,15 @@ def required_by_codes(df: DataFrame, tables: Tables) -> DataFrame:
         F.max("Description").alias("Description"))
     entry = F.struct("ColumnName", F.col("Code").alias("RequiredCode"), "RequiredWeight", "FilterType",
                      "FilterCheckType", "JDECode", "Description")
-    return entries.groupBy("codes").agg(F.array_sort(F.collect_list(entry)).alias("required"))
+    return entries.groupBy("codes").agg(F.sort_array(F.collect_list(entry)).alias("required"))
 
 
 def required_shape(plan_ids: DataFrame, tables: Tables) -> DataFrame:
     """(plan_id, fo_x, fo_y): largest element size per plan, a missing or zero size falling back to the shape's.
 
     Elements shrink to one row per (plan, shape) before they meet the shapes.
+    The restriction to the wanted plans moves below that aggregate where it is
+    small enough to be broadcast.
     """
     wanted = plan_ids.where(F.col("plan_id").isNotNull()).select("plan_id").distinct()
 
@@ -248,7 +244,8 @@ def required_shape(plan_ids: DataFrame, tables: Tables) -> DataFrame:
         own("pcmnx").alias("own_x"), falls_back("pcmnx").alias("use_x"),
         own("pcmny").alias("own_y"), falls_back("pcmny").alias("use_y"))
     shapes = tables["l_pcfo"].select(F.col("idptc").alias("idnes"), "idfor", "pfdx1", "pfdy1")
-    sized = elements.join(shapes, ["idnes", "idfor"]).groupBy(F.col("idnes").alias("plan_id")).agg(
+    asked = elements.join(wanted.withColumnRenamed("plan_id", "idnes"), "idnes", "left_semi")
+    sized = asked.join(shapes, ["idnes", "idfor"]).groupBy(F.col("idnes").alias("plan_id")).agg(
         F.max(F.greatest("own_x", F.when(F.col("use_x"), F.col("pfdx1")))).alias("fo_x"),
         F.max(F.greatest("own_y", F.when(F.col("use_y"), F.col("pfdy1")))).alias("fo_y"))
     return wanted.join(sized, "plan_id", "left")

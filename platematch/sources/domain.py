@@ -6,7 +6,6 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from platematch.schemas import OPTIONAL_TABLES, TABLES
@@ -101,13 +100,11 @@ def _conform(raw: DataFrame, table: str, trim: bool, fold_case: bool) -> DataFra
     columns = []
     for name, (kind, sql_type) in TABLES[table].items():
         if name not in present:
-            columns.append(F.lit(None).cast(sql_type).alias(name))
+            columns.append(f"CAST(NULL AS {sql_type}) AS {name}")
             continue
-        column = F.col(f"`{present[name]}`")
+        column = f"`{present[name]}`"
         if kind == "code" and isinstance(types[name], (T.StringType, T.CharType, T.VarcharType)):
-            if trim:
-                column = F.rtrim(column)
-            if fold_case:
-                column = F.collate(column, "UTF8_LCASE")
-        columns.append(column.alias(name))
-    return raw.select(*columns)
+            column = f"rtrim({column})" if trim else column
+            column = f"collate({column}, 'UTF8_LCASE')" if fold_case else column
+        columns.append(f"{column} AS {name}")
+    return raw.selectExpr(*columns)
