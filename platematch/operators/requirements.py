@@ -155,36 +155,34 @@ def subject_sets(subjects: DataFrame, tables: Tables) -> DataFrame:
     rows = left_lookup(part_rows(jobs, tables, key),
                        tables["a_par"].select("pacod", "padz1"), {"pacod": "pacod"}, "idrow")
     stated = _facts(rows, key).groupBy(key, *_FACT).agg(F.count(F.lit(1)).alias("n"))
+    is_part, is_attribute = F.col("kind") == PART, F.col("kind") == ATTRIBUTE
+    demand = F.struct(F.col("name").alias("qualitycode"), F.col("value").alias("comparingmode"))
+    code = F.struct(F.col("name").alias("ColumnName"), F.col("value").alias("Code"))
     grouped = stated.groupBy(key).agg(
-        F.max(F.when(F.col("kind") == PART, F.col("n"))).alias("n_parts"),
-        F.sort_array(F.collect_list(F.struct(*_FACT))).alias("facts"))
+        F.sum(F.when(is_part, F.col("n"))).alias("n_parts"),
+        F.sort_array(F.collect_set(F.when(is_part, F.col("size")))).alias("thicknesses"),
+        F.sort_array(F.collect_set(F.when(is_part & F.col("value").isNotNull(), demand))).alias("demands"),
+        F.sort_array(F.collect_list(F.when(is_attribute, code))).alias("codes"))
     counted = jobs.groupBy(key).agg(F.count(F.lit(1)).alias("n_jobs"))
-
-    def of_kind(kind: str, build) -> Column:
-        return F.transform(F.filter("facts", lambda f: f["kind"] == kind), build)
-
     return subjects.select(key).join(counted, key, "left").join(grouped, key, "left").select(
-        key, F.coalesce("n_jobs", F.lit(0).cast("bigint")).alias("n_jobs"), F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
-        F.coalesce(of_kind(GAUGE, lambda f: f["size"]), F.array().cast("array<double>")).alias("thicknesses"),
-        of_kind(DEMAND, lambda f: F.struct(f["name"].alias("qualitycode"), f["value"].alias("comparingmode"))).alias("demands"),
-        of_kind(ATTRIBUTE, lambda f: F.struct(f["name"].alias("ColumnName"), f["value"].alias("Code"))).alias("codes"))
+        key, F.coalesce("n_jobs", F.lit(0).cast("bigint")).alias("n_jobs"),
+        F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
+        F.coalesce("thicknesses", F.array().cast("array<double>")).alias("thicknesses"), "demands", "codes")
 
 
-PART, GAUGE, DEMAND, ATTRIBUTE = "part", "gauge", "demand", "attribute"
+PART, ATTRIBUTE = "part", "attribute"
 _FACT = ["kind", "name", "value", "size"]
 
 
 def _facts(rows: DataFrame, key: str) -> DataFrame:
-    """What each part states, one row per fact: itself, its thickness, its grade demand, its attribute codes."""
-    facts = [(PART, "NULL", "NULL", "NULL"), (GAUGE, "NULL", "NULL", "padz1"),
-             (DEMAND, "qualitycode", "comparingmode", "NULL"),
+    """What each part states, one row per fact: its grade demand and thickness, and each of its attribute codes."""
+    facts = [(PART, "qualitycode", "comparingmode", "padz1"),
              *((ATTRIBUTE, f"'{n}'", a, "NULL") for a, n in zip(ALPHAS, ALPHA_NAMES))]
     entries = ", ".join(
         f"'{kind}', CAST({name} AS STRING), CAST({value} AS STRING), CAST({size} AS DOUBLE)"
         for kind, name, value, size in facts)
     long = rows.selectExpr(key, f"stack({len(facts)}, {entries}) AS ({', '.join(_FACT)})")
-    return long.where(f"CASE kind WHEN '{PART}' THEN true WHEN '{GAUGE}' THEN size IS NOT NULL "
-                      f"WHEN '{DEMAND}' THEN value IS NOT NULL ELSE rtrim(value) <> '' END")
+    return long.where(f"kind = '{PART}' OR rtrim(value) <> ''")
 
 
 def subject_requirements(sets: DataFrame, tables: Tables) -> DataFrame:
