@@ -1,8 +1,8 @@
-"""Grade and attribute catalogues, and the attribute block of parts and sheets."""
+"""Grade and attribute catalogues, and the attributes of parts and sheets."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platematch.schemas import ALPHA_NAMES, ALPHAS
@@ -20,12 +20,6 @@ def unpivot_attributes(df: DataFrame, id_columns: list[str]) -> DataFrame:
     return long.where("rtrim(Code) <> ''")
 
 
-def attribute_block() -> Column:
-    """The non-blank attributes of a row as one array of (ColumnName, Code), in column order."""
-    pairs = ", ".join(f"named_struct('ColumnName', '{n}', 'Code', {a})" for a, n in zip(ALPHAS, ALPHA_NAMES))
-    return F.expr(f"filter(array({pairs}), p -> coalesce(rtrim(p.Code) <> '', false))")
-
-
 def attribute_catalogue(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per known attribute value: column, code, labels, weight and how it is checked."""
     heads, values = tables["x_jde_attributianagrafica"], tables["x_jde_attributivalori"]
