@@ -1,0 +1,60 @@
+"""Ingest, cleaning and export."""
+
+import datetime
+import glob
+from decimal import Decimal
+
+from pyspark.sql import functions as F
+
+from platematch.plans import worklist
+from platematch.schemas import TABLES
+from platematch.sources import (clean_erp_columns, count_rejects, load_domain, worklist_csv_lines, write_domain,
+                                write_worklist_csv)
+from tests.shop import build_domain
+
+
+def test_missing_columns_tables_and_padding(spark, tmp_path):
+    raw = spark.createDataFrame([(1, "T1  ")], "IDNES int, OLCOD string")
+    plans = load_domain(spark, {"a_nes": raw}, ["a_nes", "workplanjobssheets"])
+    assert plans["a_nes"].columns == list(TABLES["a_nes"])
+    row = plans["a_nes"].first()
+    assert row.olcod == "T1" and row.x_op_ass is None and plans["workplanjobssheets"].isEmpty()
+    write_domain(plans, str(tmp_path / "d"))
+    assert load_domain(spark, str(tmp_path / "d"), ["a_nes"], cleaned=True)["a_nes"].first() == row
+    folded = load_domain(spark, {"a_nes": raw}, ["a_nes"], case_insensitive_codes=True)["a_nes"]
+    assert folded.where(F.col("olcod") == "t1").count() == 1
+
+
+def test_hours(spark):
+    cases = {"1.5": "1.5", " 2 ": "2", "1,5": "15", "1.234,5": "1234.5", "2:30": "2.5", "1:30:36": "1.51", "-3": "-3",
+             "(4)": "-4", "5-": "-5", "1e2": "100", "1.02:15": "26.25", "1:02:15:00": "26.25", "0:20": "0.333333",
+             "abc": None, "": None, "25:61:99": "26.044167"}
+    df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("h", F.col("t"))
+    got = {r.t: r.h for r in clean_erp_columns(df, {"h": "hours"}).collect()}
+    assert got == {k: None if v is None else Decimal(v).quantize(Decimal("0.000001")) for k, v in cases.items()}
+    comma = clean_erp_columns(df, {"h": "hours"}, comma_is_decimal=True).where("t = '1,5'").first()
+    assert comma.h == Decimal("1.5")
+
+
+def test_dates_numbers_and_rejects(spark):
+    df = spark.createDataFrame([("20240131", 20240230, "4.2", Decimal("-4.9")), ("2024-01-31 10:20:30", 20240131, " 7", None)],
+                               "d string, n int, i string, x decimal(9,2)")
+    spec = {"d": "date", "n": "date", "i": "int", "x": "int"}
+    a, b = clean_erp_columns(df, spec).collect()
+    assert a.d == datetime.datetime(2024, 1, 31) and a.n is None and a.i is None and a.x == -4
+    assert b.d == datetime.datetime(2024, 1, 31, 10, 20, 30) and b.n == datetime.datetime(2024, 1, 31) and b.i == 7
+    assert {r.column: r.rejected for r in count_rejects(df, spec).collect()} == {"d": 0, "n": 1, "i": 1, "x": 0}
+
+
+def test_csv_is_exact(spark, tmp_path):
+    t = build_domain(spark, a_nes=[
+        {"idnes": 1, "olcod": "T1", "nsdsc": 'a "b"; c', "macod": "M1", "nsnot": "", "tempo": "1.50",
+         "dtexp": datetime.datetime(2024, 2, 1, 3, 4, 5)},
+        {"idnes": 2, "nsdsc": "x", "tempo": "10"}],
+        a_mac=[{"macod": "M1", "madsc": "saw"}], l_nelm=[{"idnes": 1, "nmrip": 2}, {"idnes": 1, "nmrip": 5}])
+    rows = worklist.plan_worklist(t)
+    lines = {r.IdNes: r.line for r in worklist_csv_lines(rows).collect()}
+    assert lines == {1: '"T1";1;"a ""b""; c";"saw";01/02/2024 03:04:05;;1.5;7', 2: ';2;"x";;;;10;'}
+    write_worklist_csv(rows, str(tmp_path / "out"))
+    text = b"".join(open(f, "rb").read() for f in sorted(glob.glob(str(tmp_path / "out" / "part-*")))).decode()
+    assert text == "\r\n".join(["Bolla;IDNES;NSDSC;MADSC;DTEXP;NSNOT;TEMPO;RIPET", lines[2], lines[1], ""])
