@@ -11,6 +11,7 @@ from __future__ import annotations
 import json
 import os
 import sys
+import tempfile
 import time
 import uuid
 
@@ -91,7 +92,9 @@ BENCH = {
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, **{"spark.ui.showConsoleProgress": "false"})
+    # One machine: its own disk is the shared folder.
+    spark = local_session(cpus, **{"spark.ui.showConsoleProgress": "false",
+                                   "spark.checkpoint.dir": tempfile.mkdtemp(prefix="run-")})
     warm_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.001")
     if os.path.isdir(warm_dir):
         warm = Prepared(spark, warm_dir)

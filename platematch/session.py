@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,25 +36,56 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
     return spark
 
 
-def stage_dir(spark: SparkSession) -> str:
-    """Folder for stage tables: the cluster's ``spark.checkpoint.dir``, else a scratch folder in local mode."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-    folder = tempfile.mkdtemp(prefix="platematch-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def stage_dir(spark: SparkSession) -> str | None:
+    """The shared folder in ``spark.checkpoint.dir``; None where the session names none."""
+    return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` once and read it back.
+    """Write ``df`` once and read it back, or keep it in the cache where no shared folder is named.
 
-    Cuts lineage with files that outlive any executor, and gives the readers
-    column pruning and true sizes, so later joins are planned on facts.
+    The written form cuts lineage with files that outlive any executor, and
+    gives the readers column pruning and true sizes, so later joins are planned
+    on facts.  The cached form keeps its lineage: a lost part is computed again.
+    ``stages`` removes either.
     """
-    spark = df.sparkSession
-    path = f"{stage_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    spark, folder = df.sparkSession, stage_dir(df.sparkSession)
+    if folder is None:
+        kept = df.persist()
+        _note(("cache", kept))
+        return kept
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _note(("file", (spark, path)))
     return spark.read.schema(df.schema).parquet(path)
+
+
+_open: list[list] = []
+
+
+def _note(entry) -> None:
+    if _open:
+        _open[-1].append(entry)
+
+
+@contextmanager
+def stages():
+    """Everything staged inside is removed on the way out, also after an error.
+
+    Results that read stage tables lazily must be written out before that.
+    """
+    _open.append([])
+    try:
+        yield
+    finally:
+        for kind, what in _open.pop():
+            if kind == "cache":
+                what.unpersist()
+            else:
+                remove_path(*what)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that its path names."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)

@@ -9,8 +9,10 @@ from platematch.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session("4", 4, **{"spark.ui.showConsoleProgress": "false"})
+def spark(tmp_path_factory):
+    # The tests' own machine is the whole cluster, so a local folder is shared.
+    folder = str(tmp_path_factory.mktemp("stages"))
+    return local_session("4", 4, **{"spark.ui.showConsoleProgress": "false", "spark.checkpoint.dir": folder})
 
 
 @pytest.fixture(scope="session")
