@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from contextlib import contextmanager
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +37,14 @@ def local_session(cores: str = "8", shuffle_partitions: int = 8, **extra: str) -
     return spark
 
 
+def workers_import(spark: SparkSession) -> None:
+    """Let Python workers on this machine import the package from where the driver has it.
+
+    On a cluster the package is installed or sent with ``--py-files``.
+    """
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[1]))
+
+
 def stage_dir(spark: SparkSession) -> str | None:
     """The shared folder in ``spark.checkpoint.dir``; None where the session names none."""
     return spark.conf.get("spark.checkpoint.dir", None) or None
