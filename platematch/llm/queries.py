@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platematch.llm import chat, quality, urls
+from platematch.llm import chat, decontaminate, langid, packing, quality, toxicity, urls
+from platematch.session import workers_import
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Host labels whose pages make up the URL list of the query.
@@ -12,9 +13,16 @@ LISTED_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets
 
 
 def table(spark, sf_dir, name):
+    workers_import(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_decontamination(spark, sf_dir):
+    """Every place where a test item stands in a document, with at most 5 % of its characters edited."""
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn(
+        "contaminated", F.lit(True))
+
+
 def op3_chat_formatting(spark, sf_dir):
     """All conversations and one that consists of control strings."""
     extra = spark.range(2).select(
@@ -34,8 +42,31 @@ def op4_url_filters(spark, sf_dir):
     return urls.url_verdicts(pages, listed, RULES)
 
 
+def op5_language_id(spark, sf_dir):
+    """Learned from three quarters of the documents, applied to all."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    learn = docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)))
+    told = langid.identify(docs, langid.prototypes(learn))
+    return told.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
+                       "lang_pred", "score")
+
+
+def op7_packing(spark, sf_dir):
+    """All documents in windows of 4096 tokens."""
+    import public_tokenizers
+
+    return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op8_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
-QUERIES = {f.__name__: f for f in (op3_chat_formatting, op4_url_filters, op8_quality_rules)}
+def op10_toxicity(spark, sf_dir):
+    """Expected severity of all documents, learned from a bounded sample of labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (
+    op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op7_packing, op8_quality_rules, op10_toxicity)}
