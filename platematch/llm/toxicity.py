@@ -61,48 +61,49 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def fit_ordinal(rows: list[np.ndarray], values: list[np.ndarray], grades: np.ndarray, n_grades: int,
-                dimensions: int = 1 << BITS, steps: int = 100, rate: float = 0.3, decay: float = 1e-5,
-                least_rows: int = 3) -> Ordinal:
-    """Maximum likelihood by AdaGrad over the whole sample at each step.
+                dimensions: int = 1 << BITS, steps: int = 300, momentum: float = 0.9, least_rows: int = 3,
+                least_gap: float = 0.1) -> Ordinal:
+    """Maximum likelihood by full-batch gradient ascent with momentum.
 
-    A feature is scaled by the log ratio of its share of rows above grade 0 to its
-    share of rows of grade 0, squared, so chance finds in a few rows get little
+    A feature is scaled by the log ratio of its share of the rows above grade 0
+    to its share of the rows of grade 0, so chance finds in a few rows get little
     weight; features in fewer than ``least_rows`` rows get none.
     """
+    n = len(rows)
     index = np.concatenate(rows).astype(np.int64)
-    owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    owner = np.repeat(np.arange(n), [len(r) for r in rows])
     used, index = np.unique(index, return_inverse=True)
     bad = np.bincount(index, (grades > 0)[owner], minlength=len(used))
     good = np.bincount(index, minlength=len(used)) - bad
     n_bad = (grades > 0).sum()
-    ratio = np.log((bad + 1) / (n_bad + 2)) - np.log((good + 1) / (len(grades) - n_bad + 2))
-    scale = np.where(bad + good >= least_rows, ratio ** 2, 0.0)
+    ratio = np.log((bad + 0.5) / (n_bad + 1)) - np.log((good + 0.5) / (n - n_bad + 1))
+    scale = np.where(bad + good >= least_rows, np.abs(ratio), 0.0)
     value = np.concatenate(values).astype(np.float64) * scale[index]
-    share = np.bincount(grades, minlength=n_grades)[grades]
-    importance = 1.0 / share / n_grades  # each grade weighs the same
-    weights, seen = np.zeros(len(used)), np.full(len(used), 1e-8)
-    thresholds, seen_t = np.linspace(-1, 1, n_grades - 1), np.full(n_grades - 1, 1e-8)
+    rate = 4 / max(np.bincount(owner, value ** 2, minlength=n).mean(), 1e-9)
+    weights, speed = np.zeros(len(used)), np.zeros(len(used))
+    thresholds, speed_t = np.linspace(-1, 1, n_grades - 1), np.zeros(n_grades - 1)
     for _ in range(steps):
-        score = np.bincount(owner, weights[index] * value, minlength=len(rows))
+        score = np.bincount(owner, weights[index] * value, minlength=n)
         edge = np.concatenate([[-np.inf], thresholds, [np.inf]])
         low, high = sigmoid(score - edge[grades]), sigmoid(score - edge[grades + 1])
-        chance = np.maximum(low - high, 1e-9)
-        slope = importance * (1 - low - high)
-        gradient = np.bincount(index, slope[owner] * value, minlength=len(used)) - decay * weights
-        seen += gradient ** 2
-        weights += rate * gradient / np.sqrt(seen)
+        # P(grade) = low (1 - high) apart, where apart only depends on the gap between its thresholds.
+        apart = 1 - np.exp(edge[grades] - edge[grades + 1])
         push = np.zeros(n_grades + 1)
-        np.add.at(push, grades, -importance * low * (1 - low) / chance)
-        np.add.at(push, grades + 1, importance * high * (1 - high) / chance)
-        seen_t += push[1:-1] ** 2
-        thresholds = np.maximum.accumulate(thresholds + 0.2 * rate * push[1:-1] / np.sqrt(seen_t))
+        np.add.at(push, grades, -(1 - low) / np.maximum(1 - high, 1e-12) / apart)
+        np.add.at(push, grades + 1, high / np.maximum(low, 1e-12) / apart)
+        climb = np.bincount(index, (1 - low - high)[owner] * value, minlength=len(used)) / n
+        speed = momentum * speed + (1 - momentum) * rate * climb
+        speed_t = momentum * speed_t + (1 - momentum) * 4 * push[1:-1] / n
+        weights, thresholds = weights + speed, thresholds + speed_t
+        for k in range(1, len(thresholds)):
+            thresholds[k] = max(thresholds[k], thresholds[k - 1] + least_gap)
     whole = np.zeros(dimensions, np.float32)
     whole[used] = weights * scale
     return Ordinal(whole, thresholds)
 
 
 def grades_from_labels(rows: list[np.ndarray], counts: list[np.ndarray], toxic: np.ndarray,
-                       cuts: tuple[int, ...] = (4, 9), least_rows: int = 5) -> np.ndarray:
+                       cuts: tuple[int, ...] = (16, 40), least_rows: int = 5) -> np.ndarray:
     """Grade 0 for rows that are not toxic; else 1, and one more for each cut reached by the number of
     occurrences of features that at least ``least_rows`` toxic rows and no other row of the sample have."""
     bad, good = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, bool)
@@ -159,7 +160,7 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows_per_label: int
     return documents.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").select("toxic", "text")
 
 
-def fit(documents: DataFrame, labels: DataFrame, rows_per_label: int = 4000, cuts: tuple[int, ...] = (4, 9)) -> Ordinal:
+def fit(documents: DataFrame, labels: DataFrame, rows_per_label: int = 4000, cuts: tuple[int, ...] = (16, 40)) -> Ordinal:
     """Model from a bounded sample; ``documents`` has doc_id and text, ``labels`` doc_id and toxic (0/1)."""
     got = sample_features(labelled_sample(documents, labels, rows_per_label)).toPandas()
     toxic = got["toxic"].to_numpy(dtype=bool) if len(got) else np.zeros(0, bool)
@@ -172,7 +173,7 @@ def fit(documents: DataFrame, labels: DataFrame, rows_per_label: int = 4000, cut
     return fit_ordinal(rows, values, grades, len(cuts) + 2)
 
 
-def severity(documents: DataFrame, model: Ordinal, decide: float = 0.5, id_col: str = "doc_id",
+def severity(documents: DataFrame, model: Ordinal, decide: float = 0.3, id_col: str = "doc_id",
              text_col: str = "text") -> DataFrame:
     """(doc_id, severity, toxic) of every row: the expected grade, and whether it reaches ``decide``."""
     kind = documents.schema[id_col].dataType.simpleString()
