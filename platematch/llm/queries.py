@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platematch.llm import chat, decontaminate, langid, packing, quality, toxicity, urls
+from platematch.llm import chat, decontaminate, jaccard, langid, packing, quality, toxicity, urls
 from platematch.session import workers_import
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -51,6 +51,10 @@ def op5_language_id(spark, sf_dir):
                        "lang_pred", "score")
 
 
+def op6_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark, sf_dir):
     """All documents in windows of 4096 tokens."""
     import public_tokenizers
@@ -69,4 +73,4 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op7_packing, op8_quality_rules, op10_toxicity)}
+    op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op10_toxicity)}
