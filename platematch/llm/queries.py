@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platematch.llm import chat, decontaminate, jaccard, langid, packing, quality, toxicity, urls
+from platematch.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, toxicity, urls
 from platematch.session import workers_import
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -66,6 +66,11 @@ def op8_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents")).drop("cleaned")
 
 
+def op9_line_dedup(spark, sf_dir):
+    """Every document without the lines that an earlier line is like."""
+    return lines.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_toxicity(spark, sf_dir):
     """Expected severity of all documents, learned from a bounded sample of labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -73,4 +78,5 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op10_toxicity)}
+    op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_line_dedup,
+    op10_toxicity)}
