@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platematch.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, toxicity, urls
+from platematch.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, repeats, toxicity, urls
 from platematch.session import workers_import
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -17,6 +17,11 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_array_dedup(spark, sf_dir):
+    """Every document without the 50-byte strings of documents before it."""
+    return repeats.remove_repeats(table(spark, sf_dir, "documents")).drop("kept", "spans")
+
+
 def op2_decontamination(spark, sf_dir):
     """Every place where a test item stands in a document, with at most 5 % of its characters edited."""
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).withColumn(
@@ -78,5 +83,5 @@ def op10_toxicity(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_line_dedup,
+    op1_suffix_array_dedup, op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_line_dedup,
     op10_toxicity)}
