@@ -149,16 +149,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, max_error_pct: int
             for part in slices(batches, "text"):
                 find = find or _Search(block, max_error_pct)
                 ids, rows = [], []
-                for d, text in enumerate(part.column(1).to_pylist()):
+                for d, text in enumerate(part.column("text").to_pylist()):
                     for match in find.matches(plain(text)):
                         ids.append(d)
                         rows.append(match)
                 if rows:
                     item, budget, distance, start, end = zip(*rows)
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(pa.array(ids, pa.int64())), pa.array(item), pa.array(budget, pa.int32()),
-                         pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())],
-                        ["doc_id", "item_id", "budget", "distance", "start", "end"])
+                        [part.column("doc_id").take(pa.array(ids, pa.int64())), pa.array(item),
+                         pa.array(budget, pa.int32()), pa.array(distance, pa.int32()), pa.array(start, pa.int64()),
+                         pa.array(end, pa.int64())], ["doc_id", "item_id", "budget", "distance", "start", "end"])
 
         return docs.mapInArrow(run, schema)
 
@@ -168,7 +168,20 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, max_error_pct: int
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
-    """``documents`` without those that contain a test item."""
-    leaked = contaminated(documents, benchmark, id_col=id_col, **options).select(F.col("doc_id").alias("_leaked"))
-    return documents.join(leaked.distinct(), F.col(id_col) == F.col("_leaked"), "left_anti")
+def decontaminate(documents: DataFrame, benchmark: DataFrame, max_error_pct: int = 5, min_chars: int = 24,
+                  text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``documents`` without the rows that contain a test item; all columns stay as they are."""
+    items = benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text"))
+
+    def drop(block):
+        def run(batches):
+            find = _Search(block, max_error_pct)
+            for batch in batches:
+                clean = [not any(find.matches(plain(text))) for text in batch.column(text_col).to_pylist()]
+                yield batch.filter(pa.array(clean, pa.bool_()))
+
+        return run
+
+    for block in _blocks(items, min_chars):
+        documents = documents.mapInArrow(drop(block), documents.schema)
+    return documents

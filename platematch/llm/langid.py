@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from platematch.llm.batches import slices
 
@@ -158,25 +159,28 @@ def prototypes(documents: DataFrame, dimensions: int = DIMENSIONS, seed: int = 7
     return summed["lang"].tolist(), table
 
 
-def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], seed: int = 7, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    """(doc_id, lang_pred, score) of every row; looks at the text alone."""
+def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], seed: int = 7, text_col: str = "text",
+             lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
+    """``documents`` with the predicted language and its score; looks at the text alone.
+
+    The two new names must not be taken already.
+    """
     langs, table = model
     dimensions = table.shape[1]
     lengths = np.linalg.norm(table, axis=1, keepdims=True)
     unit = np.divide(table, lengths, where=lengths > 0, out=np.zeros_like(table)).astype(np.float32).T
-    kind = documents.schema[id_col].dataType.simpleString()
 
     def predict(batches: Iterator[pa.RecordBatch]):
         letters = _letters(dimensions, seed)
-        for part in slices(batches, "text", 2_000_000):
-            grams, owner = letters.trigrams(part.column(1).to_pylist())
+        for part in slices(batches, text_col, 2_000_000):
+            rows = part.num_rows
+            grams, owner = letters.trigrams(part.column(text_col).to_pylist())
             distinct, place = np.unique(grams, return_inverse=True)
-            sums = np.zeros((part.num_rows, dimensions), np.float32)
-            bounds = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            sums = np.zeros((rows, dimensions), np.float32)
+            bounds = np.searchsorted(owner, np.arange(rows + 1))
             for first in range(0, len(distinct), 1 << 14):  # bounds the vectors held, however many letters
                 vectors = letters.bind(distinct[first:first + (1 << 14)])
-                for d in range(part.num_rows):
+                for d in range(rows):
                     mine = place[bounds[d]:bounds[d + 1]] - first
                     n = np.bincount(mine[(mine >= 0) & (mine < len(vectors))], minlength=1)
                     used = np.flatnonzero(n)
@@ -184,16 +188,21 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], seed: in
                         sums[d] += n[used].astype(np.float32) @ vectors[used].astype(np.float32)
             size = np.linalg.norm(sums, axis=1)
             cosine = np.divide(sums @ unit, size[:, None], where=size[:, None] > 0,
-                               out=np.zeros((part.num_rows, len(langs)), np.float32))
+                               out=np.zeros((rows, len(langs)), np.float32))
             told = (size > 0) & (len(langs) > 0)
-            best = cosine.argmax(axis=1) if langs else np.zeros(part.num_rows, int)
+            best = cosine.argmax(axis=1) if langs else np.zeros(rows, int)
             score = np.clip(cosine.max(axis=1, initial=0), 0, 1).astype(np.float64)
             yield pa.RecordBatch.from_arrays(
-                [part.column(0), pa.array([langs[b] if t else "und" for b, t in zip(best, told)], pa.string()),
-                 pa.array(np.where(told, score, 0.0))], ["doc_id", "lang_pred", "score"])
-
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        predict, f"doc_id {kind}, lang_pred string, score double")
+                [*part.columns, pa.array([langs[b] if t else "und" for b, t in zip(best, told)], pa.string()),
+                 pa.array(np.where(told, score, 0.0))], [*part.schema.names, lang_out, score_out])
+
+    # Null texts stay null in the output; only the prediction reads them as empty.
+    text = F.col(text_col)
+    given = documents.withColumn(f"{lang_out}_null", text.isNull())
+    schema = T.StructType([*given.schema.fields, T.StructField(lang_out, T.StringType()),
+                           T.StructField(score_out, T.DoubleType())])
+    return given.mapInArrow(predict, schema).withColumn(
+        text_col, F.when(~F.col(f"{lang_out}_null"), text)).drop(f"{lang_out}_null")
 
 
 def held_out(doc_id) -> F.Column:

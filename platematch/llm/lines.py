@@ -178,8 +178,12 @@ def duplicate_lines(docs: DataFrame, percent: int) -> DataFrame:
         "doc_key", F.col("place.line_no").alias("line_no"))
 
 
-def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``documents`` with duplicate lines taken out of the text, and n_lines, n_removed."""
+def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+                lines_out: str = "n_lines", removed_out: str = "n_removed") -> DataFrame:
+    """``documents`` with duplicate lines taken out of the text, and how many lines it had and lost.
+
+    The two new names must not be taken already.
+    """
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
         "doc_id", _doc_key().alias("doc_key"), "text")
     gone = duplicate_lines(docs, percent).groupBy("doc_key").agg(F.collect_set("line_no").alias("gone_"))
@@ -203,7 +207,6 @@ def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id",
                 [*(whole.column(f"c_{c}") for c in names), pa.array(totals, pa.int64()), pa.array(removed, pa.int64())],
                 [*(f"c_{c}" for c in names), "n_lines_", "n_removed_"])
 
-    # Names of the input stay free: what is added gets its own at the very end.
     return joined.mapInArrow(cut, fields + ", n_lines_ long, n_removed_ long").select(
-        *[F.col(f"c_{c}").alias(c) for c in names], *[
-            F.col(f"{c}_").alias(c) for c in ("n_lines", "n_removed") if c not in names])
+        *[F.col(f"c_{c}").alias(c) for c in names], F.col("n_lines_").alias(lines_out),
+        F.col("n_removed_").alias(removed_out))

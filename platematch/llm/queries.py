@@ -51,7 +51,7 @@ def op5_language_id(spark, sf_dir):
     """Learned from three quarters of the documents, applied to all."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     learn = docs.where(~F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)))
-    told = langid.identify(docs, langid.prototypes(learn))
+    told = langid.identify(docs.select("doc_id", "text"), langid.prototypes(learn))
     return told.select("doc_id", F.coalesce(langid.held_out(F.col("doc_id")), F.lit(False)).alias("held_out"),
                        "lang_pred", "score")
 
