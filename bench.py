@@ -79,7 +79,7 @@ BENCH = {
     "lookup_plans": lambda p: write_out(worklist.lookup_plans(p.tables, p.raw["lookup_keys"])),
     "assigned_plans": lambda p: write_out(picklists.assigned_plans(p.tables)),
     "assignable_plans": lambda p: write_out(picklists.assignable_plans(
-        p.tables, p.tables["xt_lista_di_prelievo"].select(F.col("id").alias("list_id")))),
+        p.tables, p.tables["xt_lista_di_prelievo"].select(F.col("id").alias("list_id")), top=3000)),
     "apply_plan_updates": lambda p: write_out(*changes.apply_plan_updates(p.tables["a_nes"], p.raw["plan_changes"])),
     "assign_operator": lambda p: write_out(changes.assign_operator(p.tables["a_nes"], p.raw["operator_changes"])),
     "add_by_ticket": lambda p: write_out(*changes.add_by_ticket(

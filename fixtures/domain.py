@@ -62,11 +62,12 @@ DOMAIN_SQL["l_pcpa"] = """
 SELECT conum AS idptc, conum, locod, 1 AS idfas FROM order_line"""
 
 DOMAIN_SQL["l_odla"] = f"""
-SELECT 'L' || lpad({_half('conum', 4)}, 9, '0') AS olcod, conum * 100 + locod AS idlav
-FROM order_line WHERE qty <= 30"""
+SELECT 'L' || lpad({_half('conum', 4)}, 9, '0') AS olcod,
+  CASE WHEN qty <= 30 THEN conum * 100 + locod ELSE -(conum * 100 + locod) END AS idlav
+FROM order_line"""
 
 DOMAIN_SQL["a_lot"] = """
-SELECT conum, locod, locod + 100 AS loclm FROM order_line WHERE least_qty <= 45"""
+SELECT conum, locod, CASE WHEN least_qty <= 45 THEN locod + 100 ELSE locod + 900 END AS loclm FROM order_line"""
 
 DOMAIN_SQL["a_par"] = """
 SELECT p_partkey AS pacod, p_name AS padsc,
@@ -75,7 +76,12 @@ SELECT p_partkey AS pacod, p_name AS padsc,
   'Q' || lpad(CAST(p_partkey % 12 AS STRING), 2, '0') AS x_jdequality
 FROM part"""
 
-DOMAIN_SQL["l_cmpa"] = """
+# Attribute columns without a catalogue entry: they are unpivoted and never required.
+_FILLER_COLUMNS = (2, 4, 6, 8, 10, 11, 12, 13, 14, 15, 16, 17)
+_FILLER = "\n  ".join(f"CASE WHEN o.qty % {n + 9} = {n} THEN 'Z{n}' WHEN o.qty % {n + 9} = 0 THEN ' ' ELSE NULL END AS alpha{n},"
+                      for n in _FILLER_COLUMNS)
+
+DOMAIN_SQL["l_cmpa"] = f"""
 SELECT o.conum * 100 + o.locod AS idrow, o.conum AS conum, o.locod + 100 AS locod, o.pacod AS pacod,
   p.x_jdequality || ' ' AS qualitycode,
   CASE WHEN o.qty = 50 THEN 'Z' WHEN o.qty % 10 = 0 THEN NULL WHEN o.qty % 10 < 3 THEN 'S'
@@ -85,6 +91,7 @@ SELECT o.conum * 100 + o.locod AS idrow, o.conum AS conum, o.locod + 100 AS loco
   CASE WHEN o.qty % 6 = 0 THEN 'C1' ELSE NULL END AS alpha5,
   CASE WHEN o.qty = 13 THEN 'F1' ELSE NULL END AS alpha7,
   CASE WHEN o.qty % 5 = 0 THEN 'E1' ELSE NULL END AS alpha9,
+  {_FILLER}
   CASE WHEN o.qty % 7 = 0 THEN 'D1' ELSE NULL END AS alpha18
 FROM order_line o JOIN a_par p ON p.pacod = o.pacod"""
 
@@ -109,15 +116,16 @@ SELECT aid AS id_x_jde_attributianagrafica, codice, CAST(w AS DECIMAL(18,6)) AS
 FROM (VALUES (1,'A0',0), (1,'A1',10), (1,'A2',20), (3,'B0',0), (3,'B1',10), (3,'B2',20), (3,'B3',30),
   (5,'C0',0), (5,'C1',5), (7,'F1',1), (9,'E1',1), (18,'D1',1)) AS t(aid, codice, w)"""
 
-_SHAPE = """SELECT {i} AS idfor, o_orderkey AS idptc,
+# Rows that stand for a missing link carry a key that nothing else has.
+_SHAPE = """SELECT {i} AS idfor, CASE WHEN o_totalprice >= 40000 THEN o_orderkey ELSE -1 - o_orderkey END AS idptc,
   CAST(900 + (o_orderkey * 31 + {i} * 17) % 1500 AS DOUBLE) + CAST(0.5 AS DOUBLE) AS pfdx1,
   CAST(400 + (o_orderkey * 47 + {i} * 29) % 1200 AS DOUBLE) AS pfdy1,
   CAST(15 AS DOUBLE) AS pfdz1,
   CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_custkey % 7 END AS mtcod
-FROM orders WHERE {where}"""
+FROM orders{where}"""
 DOMAIN_SQL["l_pcfo"] = (
-    "\n" + _SHAPE.format(i=0, where="o_totalprice >= 40000")
-    + "\nUNION ALL " + _SHAPE.format(i=1, where="o_totalprice >= 40000 AND o_orderstatus = 'P'")
+    "\n" + _SHAPE.format(i=0, where="")
+    + "\nUNION ALL " + _SHAPE.format(i=1, where=" WHERE o_orderstatus = 'P'")
 )
 
 DOMAIN_SQL["l_nelm"] = """
@@ -142,6 +150,8 @@ _TRACKING = """SELECT p_partkey * 10 + {i} AS idcrn,
 FROM part"""
 DOMAIN_SQL["s_crn"] = "\n" + _TRACKING.format(i=0) + "\nUNION ALL " + _TRACKING.format(i=1)
 
+_PLATE_FILLER = "\n  ".join(
+    f"CASE WHEN p_partkey % {n + 9} = {n} THEN 'Z{n}' ELSE NULL END AS alpha{n}," for n in (*_FILLER_COLUMNS, 9))
 _PLATE = """SELECT p_partkey * 10 + {i} AS iddmp,
   CAST(1000 + (p_partkey * 37 + {i} * 911) % 3000 AS DOUBLE) AS numeric1,
   CAST(500 + (p_partkey * 53 + {i} * 577) % 2500 AS DOUBLE) AS numeric2,
@@ -149,9 +159,10 @@ _PLATE = """SELECT p_partkey * 10 + {i} AS iddmp,
   CASE WHEN p_type = 'PROMO' THEN NULL ELSE 'B' || CAST((p_partkey * 3 + {i}) % 4 AS STRING) END AS alpha3,
   CASE WHEN (p_partkey + {i}) % 3 = 0 THEN 'C0' WHEN (p_partkey + {i}) % 2 = 0 THEN 'C1' ELSE NULL END AS alpha5,
   CASE WHEN p_brand = 'Brand#3' THEN 'F1' ELSE NULL END AS alpha7,
+  {filler}
   CASE WHEN p_partkey % 8 = 0 THEN 'D1' ELSE NULL END AS alpha18
 FROM part"""
-DOMAIN_SQL["s_dmp"] = "\n" + _PLATE.format(i=0) + "\nUNION ALL " + _PLATE.format(i=1)
+DOMAIN_SQL["s_dmp"] = "\n" + _PLATE.format(i=0, filler=_PLATE_FILLER) + "\nUNION ALL " + _PLATE.format(i=1, filler=_PLATE_FILLER)
 
 # Second position of a tracking holds a neighbouring plate; the third repeats the first position exactly.
 _POSITION = """SELECT (p_partkey * 10 + {i}) * 10 + {k} AS idmlpr, p_partkey * 10 + {i} AS idcrn, {plate} AS pacod,
@@ -172,8 +183,9 @@ DOMAIN_SQL["x_ghost"] = """
 SELECT s_suppkey AS id, CASE WHEN s_acctbal < 3000 THEN 0 ELSE 1 END AS cutperformed FROM supplier"""
 
 DOMAIN_SQL["x_ghost_details"] = """
-SELECT DISTINCT l_suppkey AS ghostid, l_partkey * 100 AS trackingid FROM lineitem
-WHERE l_returnflag = 'R' AND l_discount > CAST(0.095 AS DOUBLE)"""
+SELECT DISTINCT l_suppkey AS ghostid,
+  CASE WHEN l_returnflag = 'R' AND l_discount > CAST(0.095 AS DOUBLE) THEN l_partkey * 100 ELSE -1 - l_partkey END AS trackingid
+FROM lineitem"""
 
 DOMAIN_SQL["workplanjobssheets"] = """
 SELECT DISTINCT l_orderkey AS workplanid, l_partkey * 100 AS storelocationparttrackingid FROM lineitem"""
@@ -211,7 +223,7 @@ SELECT o_orderkey AS request_id, conum * 100 + locod AS job_id
 FROM orders JOIN order_line ON conum = o_orderkey WHERE o_orderpriority = '4-NOT SPECIFIED'"""
 
 DOMAIN_SQL["plan_changes"] = """
-SELECT event_id AS seq, user_id * 101 + event_id % 100 AS idnes,
+SELECT CASE WHEN event_id % 97 = 0 THEN NULL ELSE event_id END AS seq, user_id * 101 + event_id % 100 AS idnes,
   CASE event_type WHEN 'view' THEN substring(CAST(ts AS STRING), 1, 10)
     WHEN 'click' THEN substring(CAST(ts AS STRING), 1, 10) || 'T' || substring(CAST(ts AS STRING), 12, 5)
     WHEN 'purchase' THEN ' ' WHEN 'signup' THEN '31/12/2024' ELSE NULL END AS dtexp,
@@ -240,7 +252,7 @@ SELECT s_suppkey AS list_id,
 FROM supplier"""
 
 DOMAIN_SQL["new_lists"] = """
-SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN ' ' ELSE ' OP' || CAST(user_id % 20 AS STRING) END AS operator,
+SELECT CASE WHEN event_id % 89 = 0 THEN NULL ELSE event_id END AS seq, CASE WHEN event_type = 'error' THEN ' ' ELSE ' OP' || CAST(user_id % 20 AS STRING) END AS operator,
   CASE event_type WHEN 'view' THEN 'In corso ' WHEN 'click' THEN '' ELSE NULL END AS state, ts AS created_at
 FROM events"""
 

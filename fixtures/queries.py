@@ -48,6 +48,21 @@ class Domain:
         jobs = self.raw["request_jobs"].groupBy("request_id").agg(F.collect_list("job_id").alias("jobs"))
         return self.raw["requests"].join(jobs, "request_id", "left")
 
+    def poor_tables(self) -> dict[str, DataFrame]:
+        """The tables, with plans from a source that dates by number and has no operator column."""
+        plans = self.raw["a_nes"].drop("x_op_ass").withColumn("dtexp", F.date_format("dtexp", "yyyyMMdd").cast("int"))
+        read = _OnDemand(lambda name: self.tables[name])
+        read["a_nes"] = load_domain(self.raw["a_nes"].sparkSession, {"a_nes": plans}, ["a_nes"])["a_nes"]
+        return read
+
+    def numeric_headers(self) -> DataFrame:
+        """Pick-list headers that date by number."""
+        return self.tables["xt_lista_di_prelievo"].withColumn(
+            "datacreazione", F.date_format("datacreazione", "yyyyMMdd").cast("int"))
+
+    def open_lists(self) -> DataFrame:
+        return picklists.pick_list_headers(self.tables).select(F.col("Id").alias("list_id"))
+
     def states(self) -> DataFrame:
         return requirements.request_states(self.requests, self.tables)
 
@@ -132,6 +147,15 @@ def _deleted(d: Domain) -> DataFrame:
     )
 
 
+def _created(d: Domain) -> DataFrame:
+    lists = changes.create_lists(d.tables["xt_lista_di_prelievo"], d.raw["new_lists"])
+    left_out = changes.rejected_lists(d.raw["new_lists"]).select(
+        F.col("seq").alias("id"), F.col("created_at").cast("timestamp_ntz").alias("datacreazione"),
+        F.col("operator").alias("operatore"), F.col("state").alias("stato"))
+    return lists.select(F.lit("list").alias("result"), "*").unionByName(
+        left_out.select(F.lit("rejected").alias("result"), "*"))
+
+
 def _by_ticket(d: Domain) -> DataFrame:
     rows, rejected = changes.add_by_ticket(d.tables["xt_lista_di_prelievo_righe"], d.tables, d.raw["scans"])
     return rows.select(F.lit("row").alias("result"), "idlista", "idnesting", F.lit(None).cast("string").alias("ticket")) \
@@ -170,15 +194,24 @@ QUERIES: dict[str, Query] = {
         d.tables, search=" E_R ", only_mine=True, operator="OP3 ")),
     "plan_sheet_codes": _query(lambda d: worklist.plan_sheet_codes(d.tables)),
     "plan_repetitions": _query(lambda d: worklist.plan_repetitions(d.tables)),
+    "lookup_plans_all": _query(lambda d: worklist.lookup_plans(d.tables, d.raw["lookup_keys"]).select(
+        "key", "idnes", "Bolla", "CodiceNesting", "IdListaCollegata", "dataPrevistaTesto")),
+    "latest_plan_by_nesting_code": _query(lambda d: worklist.latest_plan_by_ticket(
+        d.tables, d.raw["requests"].select(F.col("nesting_code").alias("ticket")), code="nscod")),
+    "plan_worklist_poor_source": _query(lambda d: worklist.plan_worklist(
+        d.poor_tables(), only_mine=True, operator="OP3")),
     "lookup_plans": _query(lambda d: worklist.lookup_plans(d.tables, d.raw["lookup_keys"], 50)),
     "latest_plan_by_ticket": _query(_tickets),
     # pick lists
     "pick_list_headers": _query(lambda d: picklists.pick_list_headers(d.tables)),
+    "pick_list_headers_all": _query(lambda d: picklists.pick_list_headers(d.tables, hide_completed=False)),
+    "pick_list_view_of_lists": _query(lambda d: picklists.pick_list_view(d.tables, d.open_lists())),
+    "assigned_plans_of_lists": _query(lambda d: picklists.assigned_plans(d.tables, d.open_lists())),
     "plan_customers": _query(lambda d: picklists.plan_customers(d.tables)),
     "pick_list_view": _query(lambda d: picklists.pick_list_view(d.tables)),
-    "assigned_plans": _query(lambda d: picklists.assigned_plans(d.tables).drop("Attributi", "Placche")),
+    "assigned_plans": _query(lambda d: picklists.assigned_plans(d.tables)),
     "assignable_plans": _query(lambda d: picklists.assignable_plans(
-        d.tables, d.tables["xt_lista_di_prelievo"].select(F.col("id").alias("list_id")))),
+        d.tables, d.tables["xt_lista_di_prelievo"].select(F.col("id").alias("list_id")), top=3000)),
     # change sets
     "apply_plan_updates": _query(_plan_updates),
     "set_generic_machine": _query(lambda d: changes.set_generic_machine(
@@ -191,7 +224,10 @@ QUERIES: dict[str, Query] = {
     "remove_plans_from_lists": _query(lambda d: changes.remove_plans_from_lists(
         d.tables["xt_lista_di_prelievo_righe"], d.raw["row_removes"])),
     "delete_lists": _query(_deleted),
-    "create_lists": _query(lambda d: changes.create_lists(d.tables["xt_lista_di_prelievo"], d.raw["new_lists"])),
+    "create_lists": _query(_created),
+    "create_lists_numeric": _query(lambda d: changes.create_lists(d.numeric_headers(), d.raw["new_lists"])),
+    "assign_operator_poor_source": _query(lambda d: changes.assign_operator(
+        d.poor_tables()["a_nes"], d.raw["operator_changes"]).select("idnes", "x_op_ass")),
     # material analysis
     "resolve_plan": _query(lambda d: requirements.resolve_plan(
         requirements.normalize_requests(d.requests), d.tables).select("request_id", "plan_id")),

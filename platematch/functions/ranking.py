@@ -5,29 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-# Ids are 32-bit keys in the source: at most 2^16 buckets of at most 2^16 distinct ids.
-BUCKET_WIDTH = 1 << 16
+from platematch.session import stage
+
+RANGE_ROWS = 50_000
 
 
 def newest_first_rank(df: DataFrame, id_column: str, rank: str = "rank", descending: bool = True) -> DataFrame:
-    """1-based rank of a unique id, highest first (or lowest first).
+    """1-based rank of a unique id, highest first (or lowest first).  Rows without an id come last.
 
-    Ids fall into value buckets.  Bucket counts, a table of at most 2^16 rows,
-    give each bucket its offset; inside a bucket the rank is a window over at
-    most 2^16 rows.  No task sees more than that, and a re-run gives the same ranks.
+    Rows are dealt into ranges of about ``RANGE_ROWS`` rows whose limits Spark
+    takes from the data, so it does not matter how the ids are spread, and are
+    written once with the number of their range.  The counts of the ranges, one
+    row each, give each range its offset; inside a range the rank is a window.
     """
-    bucket = F.floor(F.col(id_column) / BUCKET_WIDTH)
-    placed = df.withColumn("_bucket", bucket)
-    order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
-    before = Window.orderBy(order("_bucket")).rowsBetween(Window.unboundedPreceding, -1)
+    order = F.col(id_column).desc_nulls_last() if descending else F.col(id_column).asc_nulls_last()
+    ranges = max(1, -(-df.count() // RANGE_ROWS))
+    placed = stage(df.repartitionByRange(ranges, order).withColumn("_range", F.spark_partition_id()), "ranked")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        placed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-        .select("_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+        placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+        .select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    inside = Window.partitionBy("_bucket").orderBy(order(id_column))
+    inside = Window.partitionBy("_range").orderBy(order)
     return (
         placed.withColumn("_pos", F.row_number().over(inside))
-        .join(offsets, "_bucket")
+        .join(offsets, "_range")
         .withColumn(rank, (F.col("_offset") + F.col("_pos")).cast("bigint"))
-        .drop("_bucket", "_pos", "_offset")
+        .drop("_range", "_pos", "_offset")
     )

@@ -14,6 +14,8 @@ from platematch.functions.ranking import newest_first_rank
 from platematch.functions.skew import left_lookup
 from platematch.functions.text import clean_parameter
 from platematch.plans.worklist import latest_plan_by_ticket
+from platematch.schemas import has_column
+from platematch.sources.erp import coerce_for_target
 
 Tables = dict[str, DataFrame]
 
@@ -33,11 +35,15 @@ def _requested_date(changes: DataFrame) -> tuple[Column, Column]:
 
 
 def apply_plan_updates(plans: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Sets planned date and note together; null clears.  Returns (plans, rejected changes)."""
+    """Sets planned date and note together; null clears.  Returns (plans, rejected changes).
+
+    A change without ``seq`` has no place in the order and is rejected; of
+    changes with the same ``seq`` the one with the largest date, then note, wins.
+    """
     date, bad = _requested_date(changes)
-    marked = changes.withColumns({"_date": date, "_bad": bad})
+    marked = changes.withColumns({"_date": date, "_bad": bad | F.col("seq").isNull()})
     last = marked.where(~F.col("_bad")).groupBy("idnes").agg(
-        F.max_by(F.struct(F.col("_date").alias("dtexp"), "nsnot"), "seq").alias("_new"))
+        F.max(F.struct("seq", F.col("_date").alias("dtexp"), "nsnot")).alias("_new"))
     merged = plans.join(last, "idnes", "left")
     changed = F.col("_new").isNotNull()
     updated = merged.withColumns({
@@ -62,7 +68,7 @@ def assign_operator(plans: DataFrame, changes: DataFrame) -> DataFrame:
     machine) or by ticket: two lookups of one row each instead of pairing every
     plan with every change of its ticket.
     """
-    if "x_op_ass" not in [c.lower() for c in plans.columns]:
+    if not has_column(plans, "x_op_ass"):
         return plans
     clean = changes.select(
         "seq", clean_parameter(F.col("ticket")).alias("ticket"), clean_parameter(F.col("machine")).alias("machine"),
@@ -130,20 +136,25 @@ def delete_lists(headers: DataFrame, rows: DataFrame, deletes: DataFrame) -> tup
     return kept_headers, kept_rows, rejected
 
 
+def _listable() -> Column:
+    return clean_parameter(F.col("operator")).isNotNull() & F.col("seq").isNotNull()
+
+
 def create_lists(headers: DataFrame, new: DataFrame) -> DataFrame:
-    """Appends headers with the next free ids in ``seq`` order; entries without operator are left out.
+    """Appends headers with the next free ids in ``seq`` order; entries without operator or ``seq`` are left out.
 
-    The state defaults to open.  See :func:`rejected_lists` for what is left out.
+    The state defaults to open.  Date, operator and state are written in the
+    types that the header table has.  See :func:`rejected_lists` for what is left out.
     """
     ids = headers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    valid = new.where(clean_parameter(F.col("operator")).isNotNull())
-    numbered = newest_first_rank(valid, "seq", "_n", descending=False)
+    numbered = newest_first_rank(new.where(_listable()), "seq", "_n", descending=False)
     created = numbered.select(
         (ids + F.col("_n")).alias("id"), F.col("created_at").cast("timestamp_ntz").alias("datacreazione"),
         clean_parameter(F.col("operator")).alias("operatore"),
         F.coalesce(clean_parameter(F.col("state")), F.lit(NEW_LIST_STATE)).alias("stato"))
-    return headers.select("id", "datacreazione", "operatore", "stato").unionByName(created)
+    old = headers.select("id", "datacreazione", "operatore", "stato")
+    return old.unionByName(coerce_for_target(created, old.schema))
 
 
 def rejected_lists(new: DataFrame) -> DataFrame:
-    return new.where(clean_parameter(F.col("operator")).isNull())
+    return new.where(~_listable())

@@ -9,12 +9,12 @@ from platematch.functions.ranking import newest_first_rank
 from platematch.functions.skew import grid_join, left_lookup
 from platematch.functions.text import contains_like, joined
 from platematch.plans.worklist import is_assignable, machine_names, plan_repetitions
+from platematch.session import stage
 
 Tables = dict[str, DataFrame]
 
 # States that count as completed.
 COMPLETED_STATES = ("COMPLETATA", "CHIUSA", "COMPLETA", "CHIUSO", "COMPLETATO", "FATTA", "DONE", "CLOSED")
-ASSIGNABLE_TOP = 3000
 # Ranks per block when lists reach down the newest-first order.
 _BLOCK = 100
 
@@ -28,15 +28,18 @@ def pick_list_headers(tables: Tables, hide_completed: bool = True) -> DataFrame:
         F.coalesce("operatore", F.lit("")).alias("Operatore"), F.coalesce("stato", F.lit("")).alias("Stato"))
 
 
-def plan_customers(tables: Tables) -> DataFrame:
-    """(idnes, customers): distinct customer names per plan, one per line.
+def plan_customers(tables: Tables, plans: DataFrame | None = None) -> DataFrame:
+    """(idnes, customers): distinct customer names per plan, one per line; of ``plans`` (idnes) if given.
 
     Names hang on the order alone, so the links are only tested for existence
     and shrink to (plan, order) before any name is read.
     """
     parts = tables["l_cmpa"].select("conum", F.col("locod").alias("loclm"))
     lots = tables["a_lot"].join(parts, ["conum", "loclm"], "left_semi").select("conum", "locod")
-    orders = tables["l_pcpa"].join(lots, ["conum", "locod"], "left_semi").select(
+    links = tables["l_pcpa"]
+    if plans is not None:
+        links = links.join(plans.select(F.col("idnes").alias("idptc")), "idptc", "left_semi")
+    orders = links.join(lots, ["conum", "locod"], "left_semi").select(
         F.col("idptc").alias("idnes"), "conum").distinct()
     names = tables["a_com"].where(F.col("ctdsc").isNotNull()).select("conum", "ctdsc").distinct()
     return orders.join(names, "conum").select("idnes", "ctdsc").distinct().groupBy("idnes").agg(
@@ -45,6 +48,14 @@ def plan_customers(tables: Tables) -> DataFrame:
 
 def pick_list_view(tables: Tables, list_ids: DataFrame | None = None) -> DataFrame:
     """List x plan x shape, with material, rounded size and customers."""
+    return _list_view(tables, list_ids).drop("_macod", "_dtexp", "_nsnot")
+
+
+def _list_view(tables: Tables, list_ids: DataFrame | None) -> DataFrame:
+    """The view and the plan columns that assigned plans show, so plans are read once.
+
+    Where lists are named, only their plans' links are looked at.
+    """
 
     def rounded(c: str) -> Column:
         return F.round(F.col(c), 0).cast("int")
@@ -53,16 +64,18 @@ def pick_list_view(tables: Tables, list_ids: DataFrame | None = None) -> DataFra
     if list_ids is not None:
         heads = heads.join(list_ids.select(F.col("list_id").alias("idlista")).distinct(), "idlista", "left_semi")
     rows = tables["xt_lista_di_prelievo_righe"].join(heads, "idlista")
-    plans = tables["a_nes"].select(F.col("idnes").alias("idnesting"), "olcod", "nscod")
+    wanted = None if list_ids is None else rows.select(F.col("idnesting").alias("idnes")).distinct()
+    plans = tables["a_nes"].select(F.col("idnes").alias("idnesting"), "olcod", "nscod", "macod", "dtexp", "nsnot")
     shapes = tables["l_pcfo"].select(F.col("idptc").alias("idnesting"), "pfdx1", "pfdy1", "pfdz1", "mtcod")
     view = rows.join(plans, "idnesting").join(shapes, "idnesting", "left").join(
-        plan_customers(tables).withColumnRenamed("idnes", "idnesting"), "idnesting", "left")
+        plan_customers(tables, wanted).withColumnRenamed("idnes", "idnesting"), "idnesting", "left")
     view = left_lookup(view, tables["a_tmt"], {"mtcod": "tmcod"}, "idnesting")
     return view.select(
         F.col("idlista").alias("IDLista"), F.col("idnesting").alias("IDNesting"), F.col("olcod").alias("Bolla"),
         F.col("nscod").alias("CodiceNesting"), F.coalesce("tmdsc", F.lit("")).alias("Materiale"),
         rounded("pfdx1").alias("Lunghezza"), rounded("pfdy1").alias("Larghezza"), rounded("pfdz1").alias("Spessore"),
-        F.col("customers").alias("Clienti"))
+        F.col("customers").alias("Clienti"), F.col("macod").alias("_macod"), F.col("dtexp").alias("_dtexp"),
+        F.col("nsnot").alias("_nsnot"))
 
 
 def assigned_plans(tables: Tables, list_ids: DataFrame | None = None, view: DataFrame | None = None) -> DataFrame:
@@ -70,18 +83,22 @@ def assigned_plans(tables: Tables, list_ids: DataFrame | None = None, view: Data
 
     ``view`` may be an extended pick-list view; its ``Placche`` column is shown when present.
     """
-    shown = pick_list_view(tables, list_ids) if view is None else view
+    shown = _list_view(tables, list_ids) if view is None else view
     codes = F.col("Placche") if "placche" in [c.lower() for c in shown.columns] else F.lit(None).cast("string")
-    plans = left_lookup(tables["a_nes"].select("idnes", "macod", "dtexp", "nsnot"), machine_names(tables),
-                        {"macod": "macod"}, "idnes")
-    rows = shown.join(plans, shown["IDNesting"] == plans["idnes"]).join(plan_repetitions(tables), "idnes", "left")
-    rows = rows.where(F.col("idnes") > 0)
+    if view is not None:
+        extra = tables["a_nes"].select(F.col("idnes").alias("IDNesting"), F.col("macod").alias("_macod"),
+                                       F.col("dtexp").alias("_dtexp"), F.col("nsnot").alias("_nsnot"))
+        shown = shown.join(extra, "IDNesting")
+    shown = shown.where(F.col("IDNesting") > 0).withColumnRenamed("IDNesting", "idnes")
+    wanted = None if list_ids is None and view is None else shown.select("idnes").distinct()
+    rows = left_lookup(shown, machine_names(tables), {"_macod": "macod"}, "idnes").join(
+        plan_repetitions(tables, wanted), "idnes", "left")
     size = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("Lunghezza", "Larghezza", "Spessore")]
     return rows.select(
         F.col("IDLista").alias("list_id"), "idnes", F.coalesce("Bolla", F.lit("")).alias("Bolla"),
         F.coalesce("CodiceNesting", F.lit("")).alias("NSCOD"), F.coalesce(F.trim("madsc"), F.lit("")).alias("Macchina"),
         "Materiale", "Lunghezza", "Larghezza", "Spessore", "Clienti", F.lit(None).cast("string").alias("Attributi"),
-        codes.alias("Placche"), F.col("dtexp").alias("DataPrevista"), F.col("nsnot").alias("Note"),
+        codes.alias("Placche"), F.col("_dtexp").alias("DataPrevista"), F.col("_nsnot").alias("Note"),
         F.col("repetitions").alias("Ripetizioni"), F.concat_ws(" × ", *size).alias("Dimensioni"))
 
 
@@ -92,10 +109,12 @@ def plan_material(tables: Tables) -> DataFrame:
         F.min("tmdsc").alias("material"))
 
 
-def assignable_plans(tables: Tables, lists: DataFrame, search: str | None = None, top: int = ASSIGNABLE_TOP,
+def assignable_plans(tables: Tables, lists: DataFrame, top: int, search: str | None = None,
                      case_sensitive: bool = True) -> DataFrame:
     """Per list the newest ``top`` assignable plans that are not on it.
 
+    ``top`` is part of the question: without it the answer is lists times plans.
+
     Plans are ranked newest first once.  A list with ``k`` of them already on it
     finds its result among the first ``top + k`` ranks, so each list meets just
     those, block by block, and the work follows the size of the result and of
@@ -111,12 +130,14 @@ def assignable_plans(tables: Tables, lists: DataFrame, search: str | None = None
         for c in ("olcod", "nscod", "material"):
             hit = hit | F.coalesce(contains_like(F.col(c), text, case_sensitive), F.lit(False))
         plans = plans.where(hit)
-    ranked = newest_first_rank(plans, "idnes")
+    # Only ids and ranks meet the lists; what is shown is joined to the result.
+    plans = stage(plans, "assignable")
+    ranked = stage(newest_first_rank(plans.select("idnes"), "idnes"), "plan_ranks")
     wanted = lists.select("list_id").where(F.col("list_id").isNotNull()).distinct()
     rows = tables["xt_lista_di_prelievo_righe"].select(F.col("idlista").alias("list_id"), F.col("idnesting").alias("idnes"))
     rows = rows.distinct()
     taken = (
-        rows.join(wanted, "list_id", "left_semi").join(plans.select("idnes"), "idnes", "left_semi")
+        rows.join(wanted, "list_id", "left_semi").join(ranked.select("idnes"), "idnes", "left_semi")
         .groupBy("list_id").agg(F.count(F.lit(1)).alias("n_taken"))
     )
     reach = wanted.join(taken, "list_id", "left").withColumn("reach", F.coalesce("n_taken", F.lit(0)) + top)
@@ -127,7 +148,7 @@ def assignable_plans(tables: Tables, lists: DataFrame, search: str | None = None
     free = met.join(rows, ["list_id", "idnes"], "left_anti")
     newest = Window.partitionBy("list_id").orderBy(F.col("idnes").desc())
     kept = free.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= top)
-    return kept.select(
+    return kept.select("list_id", "idnes").join(plans, "idnes").select(
         "list_id", "idnes", F.coalesce("olcod", F.lit("")).alias("Bolla"), F.coalesce("nscod", F.lit("")).alias("NSCOD"),
         F.coalesce(F.trim("madsc"), F.lit("")).alias("Macchina"), F.coalesce("material", F.lit("")).alias("Materiale"),
         F.col("dtexp").alias("DataPrevista"), F.col("nsnot").alias("Note"))

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from platematch.functions.skew import left_lookup
 from platematch.functions.text import clean_parameter, contains_like, joined
+from platematch.schemas import has_column
 from platematch.sources.erp import parse_hours
 
 Tables = dict[str, DataFrame]
@@ -37,15 +38,20 @@ def latest_plan_by_ticket(tables: Tables, tickets: DataFrame, assignable_only: b
     return wanted.join(latest, wanted["ticket"] == latest["code"]).select("ticket", "idnes")
 
 
-def plan_repetitions(tables: Tables) -> DataFrame:
+def plan_repetitions(tables: Tables, plans: DataFrame | None = None) -> DataFrame:
     """(idnes, repetitions): sum over the plan's elements; plans without elements have no row."""
-    return tables["l_nelm"].groupBy("idnes").agg(F.sum("nmrip").cast("bigint").alias("repetitions"))
+    elements = tables["l_nelm"]
+    if plans is not None:
+        elements = elements.join(plans, "idnes", "left_semi")
+    return elements.groupBy("idnes").agg(F.sum("nmrip").cast("bigint").alias("repetitions"))
 
 
-def plan_sheet_codes(tables: Tables) -> DataFrame:
-    """(idnes, sheet_codes): distinct tracking codes reserved for a plan, one per line."""
+def plan_sheet_codes(tables: Tables, plans: DataFrame | None = None) -> DataFrame:
+    """(idnes, sheet_codes): distinct tracking codes reserved for a plan, one per line; of ``plans`` (idnes) if given."""
     reserved = tables["workplanjobssheets"].select(
         F.col("workplanid").alias("idnes"), F.col("storelocationparttrackingid").alias("idmlpr"))
+    if plans is not None:
+        reserved = reserved.join(plans, "idnes", "left_semi")
     codes = (
         reserved.join(tables["l_mlpr"].select("idmlpr", "idcrn"), "idmlpr")
         .join(tables["s_crn"].select("idcrn", "crcod"), "idcrn")
@@ -71,7 +77,11 @@ def plans_view(tables: Tables) -> DataFrame:
 
 def plan_worklist(tables: Tables, search: str | None = None, only_mine: bool = False,
                   operator: str | None = None, case_sensitive: bool = True) -> DataFrame:
-    """Worklist rows; ``search`` looks into description, machine and job ticket."""
+    """Worklist rows; ``search`` looks into description, machine and job ticket.
+
+    ``only_mine`` has no effect where the source has no operator column.
+    """
+    filtered = bool((search or "").strip()) or only_mine
     rows = plans_view(tables).withColumn("_ticket", F.trim(F.coalesce("olcod", F.lit(""))))
     text = (search or "").strip()
     if text:
@@ -79,9 +89,9 @@ def plan_worklist(tables: Tables, search: str | None = None, only_mine: bool = F
         for c in ("nsdsc", "madsc", "_ticket"):
             hit = hit | F.coalesce(contains_like(F.col(c), text, case_sensitive), F.lit(False))
         rows = rows.where(hit)
-    if only_mine:
+    if only_mine and has_column(tables["a_nes"], "x_op_ass"):
         rows = rows.where(F.coalesce("x_op_ass", F.lit("")) == F.lit((operator or "").strip()))
-    rows = rows.join(plan_sheet_codes(tables), "idnes", "left")
+    rows = rows.join(plan_sheet_codes(tables, rows.select("idnes") if filtered else None), "idnes", "left")
     return rows.select(
         F.col("idnes").alias("IdNes"), F.col("_ticket").alias("Bolla"),
         F.coalesce("nsdsc", F.lit("")).alias("NsDsc"), F.coalesce("madsc", F.lit("")).alias("MaDsc"),
@@ -89,12 +99,13 @@ def plan_worklist(tables: Tables, search: str | None = None, only_mine: bool = F
         F.col("ripet").alias("Ripet"), F.col("sheet_codes").alias("Placche"))
 
 
-def lookup_plans(tables: Tables, keys: DataFrame, limit_per_key: int = 50) -> DataFrame:
+def lookup_plans(tables: Tables, keys: DataFrame, limit_per_key: int | None = None) -> DataFrame:
     """Per key: plans whose job ticket or nesting code equals it, with machine and linked pick list.
 
-    Newest ``limit_per_key`` rows per key.  Each plan gives at least one row, so
-    the plans are cut to that number first, and the lists are joined to the few
-    that remain; both cuts run as partial top-k before their shuffle.
+    All matches, or the newest ``limit_per_key`` rows per key where that is
+    asked for.  Each plan gives at least one row, so the plans are cut to that
+    number first, and the lists are joined to the few that remain; both cuts run
+    as partial top-k before their shuffle.
     """
     wanted = keys.select(clean_parameter(F.col("key")).alias("key")).where(F.col("key").isNotNull()).distinct()
     plans = tables["a_nes"].select("idnes", "olcod", "nscod", "macod", "dtexp")
@@ -125,6 +136,8 @@ def lookup_plans(tables: Tables, keys: DataFrame, limit_per_key: int = 50) -> Da
         F.date_format("dtexp", "dd/MM/yyyy").alias("dataPrevistaTesto"), label.alias("listaCollegata"))
 
 
-def _top(df: DataFrame, key: str, order: list[Column], n: int) -> DataFrame:
+def _top(df: DataFrame, key: str, order: list[Column], n: int | None) -> DataFrame:
+    if n is None:
+        return df
     window = Window.partitionBy(key).orderBy(*order)
     return df.withColumn("_rn", F.row_number().over(window)).where(F.col("_rn") <= n).drop("_rn")

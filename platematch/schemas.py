@@ -6,6 +6,7 @@ The type is used only for columns the source lacks, which arrive as typed nulls.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 ALPHA_COUNT = 18
@@ -50,6 +51,15 @@ TABLES: dict[str, dict[str, tuple[str, str]]] = {
 # Tables the source may lack altogether; they read as empty.
 OPTIONAL_TABLES = {"workplanjobssheets", "x_ghost", "x_ghost_details"}
 
+# Marks a column that the source lacks and that was filled with nulls.
+ABSENT = {"absent": True}
+
+
+def has_column(df: DataFrame, name: str) -> bool:
+    """Whether the table has the column from its source; one filled in by the reader does not count."""
+    return any(f.name.lower() == name and not f.metadata.get("absent") for f in df.schema.fields)
+
+
 REQUEST_SCHEMA = T.StructType([
     T.StructField("request_id", T.LongType(), False),
     T.StructField("job_ticket_code", T.StringType()),

@@ -6,12 +6,17 @@ from collections.abc import Callable, Iterable, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platematch.schemas import OPTIONAL_TABLES, TABLES
+from platematch.schemas import ABSENT, OPTIONAL_TABLES, TABLES
+from platematch.sources.erp import cleaned_column
 
 Source = Callable[[SparkSession, str], "DataFrame | None"]
 
+# How a column of another type than declared is read: dates also come as yyyyMMdd numbers or text, counts as text or decimals.
+_CLEANED = {"timestamp_ntz": "date", "int": "int"}
+
 
 def parquet_source(folder: str, suffix: str = "") -> Source:
     """Tables stored as ``<folder>/<table><suffix>``."""
@@ -61,8 +66,9 @@ def load_domain(spark: SparkSession, source: str | Source | Mapping[str, DataFra
                 cleaned: bool = False) -> dict[str, DataFrame]:
     """Cleaned domain tables by name.
 
-    Known columns only, codes right-trimmed once, optional columns the source
-    lacks as typed nulls, optional tables it lacks as empty.  ``cleaned=True``
+    Known columns only, codes right-trimmed once, dates and counts cleaned where
+    the source has them in another type, optional columns the source lacks as
+    typed nulls that are marked as absent, optional tables it lacks as empty.  ``cleaned=True``
     reads tables written by :func:`write_domain`, which need no trimming, so
     filters on codes reach the file scan.
     """
@@ -100,11 +106,15 @@ def _conform(raw: DataFrame, table: str, trim: bool, fold_case: bool) -> DataFra
     columns = []
     for name, (kind, sql_type) in TABLES[table].items():
         if name not in present:
-            columns.append(f"CAST(NULL AS {sql_type}) AS {name}")
+            columns.append(F.lit(None).cast(sql_type).alias(name, metadata=ABSENT))
             continue
-        column = f"`{present[name]}`"
+        column = F.col(f"`{present[name]}`")
         if kind == "code" and isinstance(types[name], (T.StringType, T.CharType, T.VarcharType)):
-            column = f"rtrim({column})" if trim else column
-            column = f"collate({column}, 'UTF8_LCASE')" if fold_case else column
-        columns.append(f"{column} AS {name}")
-    return raw.selectExpr(*columns)
+            column = F.rtrim(column) if trim else column
+            column = F.collate(column, "UTF8_LCASE") if fold_case else column
+        elif clean := _CLEANED.get(sql_type):
+            kept = (T.TimestampType, T.TimestampNTZType, T.DateType) if clean == "date" else T.IntegralType
+            if not isinstance(types[name], kept):
+                column = cleaned_column(raw, present[name], clean)
+        columns.append(column.alias(name))
+    return raw.select(*columns)

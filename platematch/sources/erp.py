@@ -49,7 +49,8 @@ def coerce_for_target(df: DataFrame, schema: T.StructType) -> DataFrame:
 
     Text going into an integer column becomes that integer or 0; a timestamp
     becomes ``yyyyMMdd`` as integer or ``yyyy-MM-dd HH:mm:ss`` as text; other
-    columns pass unchanged.
+    columns pass unchanged.  What the target type cannot hold becomes null:
+    :func:`uncoerced` shows those rows.
     """
     targets = {f.name.lower(): f.dataType for f in schema.fields}
     columns = []
@@ -57,16 +58,28 @@ def coerce_for_target(df: DataFrame, schema: T.StructType) -> DataFrame:
         column, target = F.col(f"`{field.name}`"), targets.get(field.name.lower())
         is_time = isinstance(field.dataType, (T.TimestampType, T.TimestampNTZType, T.DateType))
         if isinstance(target, T.IntegralType) and isinstance(field.dataType, T.StringType):
-            whole = F.when(column.rlike(r"^\s*[+-]?\d+\s*$"), F.expr(f"try_cast(trim(`{field.name}`) as int)"))
-            column = F.when(column.isNotNull(), F.coalesce(whole, F.lit(0))).cast(target)
+            digits = column.rlike(r"^\s*[+-]?\d+\s*$")
+            whole = F.trim(column).try_cast(target)
+            column = F.when(column.isNotNull(), F.when(digits, whole).otherwise(F.lit(0).cast(target)))
         elif isinstance(target, T.IntegralType) and is_time:
-            column = F.date_format(column, "yyyyMMdd").cast(target)
+            column = F.date_format(column, "yyyyMMdd").try_cast(target)
         elif isinstance(target, T.StringType) and is_time:
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         columns.append(column.alias(field.name))
     return df.select(*columns)
 
 
+def uncoerced(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """Rows that :func:`coerce_for_target` has to empty a cell of, and the names of those columns."""
+    names = [f.name for f in df.schema.fields]
+    both = df.withColumn("_row", F.struct(*[F.col(f"`{n}`") for n in names]))
+    typed = coerce_for_target(both, schema)
+    lost = F.filter(F.array(*[F.when(F.col(f"`{n}`").isNull() & F.col("_row")[n].isNotNull(), F.lit(n))
+                              for n in names]), lambda n: n.isNotNull())
+    return typed.withColumn("rejected_columns", lost).where(F.size("rejected_columns") > 0).select(
+        "_row.*", "rejected_columns")
+
+
 def parse_hours(text: Column, comma_is_decimal: bool = False) -> Column:
     """Hours from text: a number, else a localized number, else a clock text, else a span with days."""
     t = F.regexp_replace(text, r"^\s+|\s+$", "")
@@ -102,6 +115,11 @@ def _in_hours(sign: Column, days: Column, hours: Column, minutes: Column, second
     return F.when(sign == "-", -value).otherwise(value).cast(HOURS_TYPE)
 
 
+def cleaned_column(df: DataFrame, name: str, kind: str) -> Column:
+    """Clean value of one column with the default options."""
+    return _cleaned(df, name, kind, False, ("yyyyMMdd",))
+
+
 def _cleaned(df: DataFrame, name: str, kind: str, comma_is_decimal: bool, text_formats: Sequence[str]) -> Column:
     column, dtype = F.col(f"`{name}`"), df.schema[name].dataType
     if kind == "date":

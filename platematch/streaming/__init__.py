@@ -1,4 +1,4 @@
 """Streaming feeds."""
-from platematch.streaming.scans import distinct_scans, scan_stream_to_rows
+from platematch.streaming.scans import scan_stream_to_rows
 
-__all__ = ["distinct_scans", "scan_stream_to_rows"]
+__all__ = ["scan_stream_to_rows"]

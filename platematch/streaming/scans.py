@@ -8,38 +8,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from platematch.functions.text import clean_parameter
 from platematch.operators.changes import new_list_rows, resolve_scans
 
 ROWS_SCHEMA = "idlista bigint, idnesting bigint"
 
 
-def distinct_scans(stream: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Scans without repeats of the same (list, ticket) within the watermark; state expires with it."""
-    scans = stream.withColumn("ticket", clean_parameter(F.col("ticket"))).where(F.col("ticket").isNotNull())
-    return scans.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["list_id", "ticket"])
-
-
 def scan_stream_to_rows(stream: DataFrame, load_tables: Callable[[], dict[str, DataFrame]], rows_folder: str,
-                        rejects_folder: str, checkpoint: str, delay: str = "10 minutes",
-                        available_now: bool = False) -> StreamingQuery:
-    """Appends list rows to ``rows_folder`` and unknown tickets to ``rejects_folder``.
+                        rejects_folder: str, checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Appends list rows to ``rows_folder``; blank and unknown tickets go to ``rejects_folder``.
 
     Only rows that are not there yet are appended, and rejects go to a folder
-    per batch, so a batch that runs again after a failure changes nothing.
-    ``load_tables`` is called per batch and sees the plans of that moment.
+    per batch, so a batch that runs again after a failure changes nothing.  That
+    also takes care of repeated scans, however late: there is no watermark and
+    no scan is dropped.  ``load_tables`` is called per batch and sees the plans
+    of that moment.
     """
 
     def add_batch(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         batch.persist()
-        adds, rejected = resolve_scans(load_tables(), batch)
-        present = spark.read.schema(ROWS_SCHEMA).parquet(rows_folder)
-        fresh = new_list_rows(present, adds).select(
-            F.col("idlista").cast("bigint"), F.col("idnesting").cast("bigint"))
-        fresh.write.mode("append").parquet(rows_folder)
-        rejected.write.mode("overwrite").parquet(f"{rejects_folder}/batch={batch_id}")
-        batch.unpersist()
-
-    writer = distinct_scans(stream, delay).writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)
+        try:
+            adds, rejected = resolve_scans(load_tables(), batch)
+            wanted = adds.select("list_id", "idnes").distinct()
+            # Only the lists that this batch names are compared with what is there.
+            present = spark.read.schema(ROWS_SCHEMA).parquet(rows_folder).join(
+                wanted.select(F.col("list_id").alias("idlista")).distinct(), "idlista", "left_semi")
+            fresh = new_list_rows(present, wanted).select(
+                F.col("idlista").cast("bigint"), F.col("idnesting").cast("bigint"))
+            fresh.write.mode("append").parquet(rows_folder)
+            rejected.write.mode("overwrite").parquet(f"{rejects_folder}/batch={batch_id}")
+        finally:
+            batch.unpersist()
+
+    writer = stream.writeStream.foreachBatch(add_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if available_now else writer.start()
