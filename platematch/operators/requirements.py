@@ -95,21 +95,33 @@ def distinct_subjects(resolved: DataFrame) -> DataFrame:
 # --- jobs and parts -------------------------------------------------------------------------------------------
 
 def jobs_of_subjects(subjects: DataFrame, tables: Tables) -> DataFrame:
-    """Distinct (subject, idlav).
+    """Distinct (subject, idlav)."""
+    return job_rows(subjects, tables).select("subject", "idlav").distinct()
 
-    A subject's key says which branch applies to it, so it meets plan links and
-    ticket links by key and only its own kind matches.  Links are cut down to
-    the subjects before they meet the job table.
+
+def job_rows(subjects: DataFrame, tables: Tables) -> DataFrame:
+    """Distinct (subject, idlav, conum, locod); order and line are null for a job that the job table lacks.
+
+    A subject's key says which links apply to it: plans meet the plan links and
+    tickets the ticket links by those tables' own typed keys, and links are cut
+    down to the subjects before they meet the job table.
     """
     steps = ["conum", "locod", "idfas"]
-    key = subjects.select("subject")
+    jobs = tables["a_lav"].select("idlav", *steps)
+
+    def named(kind: str) -> DataFrame:
+        return subjects.where(F.col("subject").startswith(kind)).select("subject", F.expr("substring(subject, 2)").alias("_key"))
+
+    plans = named("P").withColumn("_key", F.col("_key").cast("bigint"))
+    links = tables["l_pcpa"].select("idptc", *steps)
+    by_plan = links.join(plans, links["idptc"] == plans["_key"]).select("subject", *steps).join(jobs, steps).select(
+        "subject", "idlav", "conum", "locod")
+    tickets, lists = named("T"), tables["l_odla"].select("olcod", "idlav")
+    by_ticket = lists.join(tickets, lists["olcod"] == tickets["_key"]).select("subject", "idlav")
     listed = subjects.where(F.col("listed").isNotNull()).select("subject", F.explode("listed").alias("idlav"))
-    plan_links = tables["l_pcpa"].select(F.concat(F.lit("P"), F.col("idptc").cast("string")).alias("subject"), *steps)
-    by_plan = plan_links.join(key, "subject").join(tables["a_lav"].select("idlav", *steps), steps).select(
-        "subject", "idlav")
-    ticket_links = tables["l_odla"].select(F.concat(F.lit("T"), F.col("olcod")).alias("subject"), "idlav")
-    by_ticket = ticket_links.join(key, "subject").select("subject", "idlav")
-    return listed.unionByName(by_plan).unionByName(by_ticket).where(F.col("idlav").isNotNull()).distinct()
+    other = listed.unionByName(by_ticket).where(F.col("idlav").isNotNull()).distinct().join(
+        jobs.drop("idfas"), "idlav", "left").select("subject", "idlav", "conum", "locod")
+    return by_plan.where(F.col("idlav").isNotNull()).unionByName(other).distinct()
 
 
 def part_rows(jobs: DataFrame, tables: Tables, key: str = "subject") -> DataFrame:
@@ -118,9 +130,12 @@ def part_rows(jobs: DataFrame, tables: Tables, key: str = "subject") -> DataFram
     The lots are made distinct first; a part belongs to one lot, so the join to
     the parts needs no second pass over the wide rows.
     """
-    job_lots = jobs.join(tables["a_lav"].select("idlav", "conum", "locod"), "idlav").select(key, "conum", "locod")
+    return _parts_of_lots(jobs.join(tables["a_lav"].select("idlav", "conum", "locod"), "idlav"), tables, key)
+
+
+def _parts_of_lots(lots: DataFrame, tables: Tables, key: str) -> DataFrame:
     order_lots = (
-        job_lots.join(tables["a_lot"], ["conum", "locod"])
+        lots.select(key, "conum", "locod").join(tables["a_lot"], ["conum", "locod"])
         .select(key, "conum", F.col("loclm").alias("locod")).distinct()
     )
     return order_lots.join(tables["l_cmpa"], ["conum", "locod"])
@@ -151,10 +166,15 @@ def subject_sets(subjects: DataFrame, tables: Tables) -> DataFrame:
     is finally collected per subject is bounded by the catalogues.
     """
     key = "subject"
-    jobs = jobs_of_subjects(subjects, tables)
-    rows = left_lookup(part_rows(jobs, tables, key),
+    jobs = job_rows(subjects, tables)
+    rows = left_lookup(_parts_of_lots(jobs, tables, key),
                        tables["a_par"].select("pacod", "padz1"), {"pacod": "pacod"}, "idrow")
     stated = _facts(rows, key).groupBy(key, *_FACT).agg(F.count(F.lit(1)).alias("n"))
+    # Codes that no catalogue entry enforces ask for nothing and are not collected.
+    enforced = cat.enforced(cat.attribute_catalogue(tables)).select(
+        F.lit(ATTRIBUTE).alias("kind"), F.col("ColumnName").alias("name"), F.col("Code").alias("value"),
+        F.lit(True).alias("_asks")).distinct()
+    stated = stated.join(enforced, ["kind", "name", "value"], "left").where((F.col("kind") == PART) | F.col("_asks"))
     is_part, is_attribute = F.col("kind") == PART, F.col("kind") == ATTRIBUTE
     demand = F.struct(F.col("name").alias("qualitycode"), F.col("value").alias("comparingmode"))
     code = F.struct(F.col("name").alias("ColumnName"), F.col("value").alias("Code"))
@@ -163,7 +183,7 @@ def subject_sets(subjects: DataFrame, tables: Tables) -> DataFrame:
         F.sort_array(F.collect_set(F.when(is_part, F.col("size")))).alias("thicknesses"),
         F.sort_array(F.collect_set(F.when(is_part & F.col("value").isNotNull(), demand))).alias("demands"),
         F.sort_array(F.collect_list(F.when(is_attribute, code))).alias("codes"))
-    counted = jobs.groupBy(key).agg(F.count(F.lit(1)).alias("n_jobs"))
+    counted = jobs.select(key, "idlav").distinct().groupBy(key).agg(F.count(F.lit(1)).alias("n_jobs"))
     return subjects.select(key).join(counted, key, "left").join(grouped, key, "left").select(
         key, F.coalesce("n_jobs", F.lit(0).cast("bigint")).alias("n_jobs"),
         F.coalesce("n_parts", F.lit(0).cast("bigint")).alias("n_parts"),
@@ -187,6 +207,8 @@ def _facts(rows: DataFrame, key: str) -> DataFrame:
 
 def subject_requirements(sets: DataFrame, tables: Tables) -> DataFrame:
     """Adds the admitted grades and the required attributes; subjects with equal sets share the lookup."""
+    # "Nothing stated" is common: without a key such subjects are spread instead of meeting in one task.
+    sets = sets.withColumns({c: F.when(F.size(c) > 0, F.col(c)) for c in ("demands", "codes")})
     with_grades = left_lookup(sets, admitted_by_demands(sets, tables), {"demands": "demands"}, "subject")
     full = left_lookup(with_grades, required_by_codes(sets, tables), {"codes": "codes"}, "subject")
     return full.drop("demands", "codes")
@@ -226,9 +248,8 @@ def required_by_codes(df: DataFrame, tables: Tables) -> DataFrame:
 def required_shape(plan_ids: DataFrame, tables: Tables) -> DataFrame:
     """(plan_id, fo_x, fo_y): largest element size per plan, a missing or zero size falling back to the shape's.
 
-    Elements shrink to one row per (plan, shape) before they meet the shapes.
-    The restriction to the wanted plans moves below that aggregate where it is
-    small enough to be broadcast.
+    Elements are cut down to the wanted plans first; dealt by plan, they shrink
+    to one row per (plan, shape) and meet the shapes where they are.
     """
     wanted = plan_ids.where(F.col("plan_id").isNotNull()).select("plan_id").distinct()
 
@@ -238,12 +259,12 @@ def required_shape(plan_ids: DataFrame, tables: Tables) -> DataFrame:
     def falls_back(c: str) -> Column:
         return F.bool_or(F.coalesce(F.col(c), F.lit(0.0)) == 0)
 
-    elements = tables["l_nelm"].groupBy("idnes", "idfor").agg(
+    plans = wanted.withColumnRenamed("plan_id", "idnes")
+    elements = tables["l_nelm"].join(plans, "idnes", "left_semi").groupBy("idnes", "idfor").agg(
         own("pcmnx").alias("own_x"), falls_back("pcmnx").alias("use_x"),
         own("pcmny").alias("own_y"), falls_back("pcmny").alias("use_y"))
     shapes = tables["l_pcfo"].select(F.col("idptc").alias("idnes"), "idfor", "pfdx1", "pfdy1")
-    asked = elements.join(wanted.withColumnRenamed("plan_id", "idnes"), "idnes", "left_semi")
-    sized = asked.join(shapes, ["idnes", "idfor"]).groupBy(F.col("idnes").alias("plan_id")).agg(
+    sized = elements.join(shapes, ["idnes", "idfor"]).groupBy(F.col("idnes").alias("plan_id")).agg(
         F.max(F.greatest("own_x", F.when(F.col("use_x"), F.col("pfdx1")))).alias("fo_x"),
         F.max(F.greatest("own_y", F.when(F.col("use_y"), F.col("pfdy1")))).alias("fo_y"))
     return wanted.join(sized, "plan_id", "left")
