@@ -110,12 +110,24 @@ def main() -> None:
         seconds[name] = round(time.time() - started, 3)
         print(f"{name}: {seconds[name]}", file=sys.stderr, flush=True)
     n_requests = prepared.requests.count()
+    # A tenth of the data, and one request of each: cost by size, and latency.
+    growth = {}
+    small_dir = os.path.join(os.path.dirname(sf_dir.rstrip("/")), "sf0.01")
+    for label, folder in (("small", small_dir), ("one_request", sf_dir)):
+        if os.path.isdir(folder):
+            part = prepared if label == "one_request" else Prepared(spark, folder)
+            if label == "one_request":
+                part.requests = part.requests.limit(1)
+            started = time.time()
+            run_analysis(part)
+            growth[label] = round(time.time() - started, 3)
+            growth[f"{label}_requests"] = part.requests.count()
     print(json.dumps({
         "metric": "total seconds of the headline queries", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "prepare": round(prepare, 3), "requests": n_requests,
         "requests_per_second": round(n_requests / seconds["analyze"], 1),
-        "ms_per_request": round(1000 * seconds["analyze"] / n_requests, 4),
+        "ms_per_request": round(1000 * seconds["analyze"] / n_requests, 4), "analyze_other_sizes": growth,
     }))
 
 

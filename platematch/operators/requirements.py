@@ -44,7 +44,7 @@ def normalize_requests(requests: DataFrame) -> DataFrame:
         column = column.cast(field.dataType)
         if field.name in ("job_ticket_code", "nesting_code", "tracking_code"):
             column = clean_parameter(column)
-        elif field.name == "only_available":
+        elif field.name in ("only_available", "verify"):
             column = F.coalesce(column, F.lit(False))
         columns.append(column.alias(field.name))
     return requests.select(*columns)
@@ -55,9 +55,11 @@ def has_jobs_list() -> Column:
 
 
 def split_requests(requests: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(usable, rejected): a request must name a ticket, a plan, a nesting code or a job list."""
+    """(usable, rejected): a request must name a ticket, a plan, a nesting code or a job list,
+    and one that asks for a verification a tracking code."""
     named = (F.col("job_ticket_code").isNotNull() | F.col("nesting_id").isNotNull()
              | F.col("nesting_code").isNotNull() | has_jobs_list())
+    named = named & ~(F.col("verify") & F.col("tracking_code").isNull())
     return requests.where(named), requests.where(~named)
 
 

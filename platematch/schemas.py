@@ -68,4 +68,6 @@ REQUEST_SCHEMA = T.StructType([
     T.StructField("tracking_code", T.StringType()),
     T.StructField("only_available", T.BooleanType()),
     T.StructField("jobs", T.ArrayType(T.LongType())),
+    # Asks to verify the named tracking; without it a request with a tracking code verifies, one without lists.
+    T.StructField("verify", T.BooleanType()),
 ])

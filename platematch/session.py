@@ -64,7 +64,7 @@ def stage(df: DataFrame, name: str) -> DataFrame:
         _note(("cache", kept))
         return kept
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     _note(("file", (spark, path)))
     return spark.read.schema(df.schema).parquet(path)
 

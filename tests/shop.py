@@ -107,4 +107,4 @@ def requests(spark):
         (28, " ", None, "", None, False, None),                  # names nothing
         (29, None, 1, None, "X109", False, None),
     ]
-    return spark.createDataFrame(rows, REQUEST_SCHEMA)
+    return spark.createDataFrame([(*r, None) for r in rows], REQUEST_SCHEMA)

@@ -143,3 +143,18 @@ def test_a_heavier_requirement_never_improves(spark, weight):
     got = row.select(matching.compatible(F.col("low"), F.col("has")).alias("low"),
                      matching.compatible(F.col("high"), F.col("has")).alias("high")).first()
     assert got.low <= got.high and got.low in (1, 2)
+
+
+def test_a_verification_names_its_tracking(spark):
+    asked = spark.createDataFrame([(1, 5, "X1", True), (2, 5, " ", True), (3, 5, None, False), (4, 5, None, None)],
+                                  "request_id bigint, nesting_id bigint, tracking_code string, verify boolean")
+    usable, rejected = requirements.split_requests(requirements.normalize_requests(asked))
+    assert [r.request_id for r in rejected.collect()] == [2] and usable.count() == 3
+
+
+def test_a_part_more_never_admits_more_grades(spark, shop):
+    """Grades are those every part accepts, so adding a part can only take some away."""
+    states = {r.request_id: {q.Code for q in r.admitted} for r in requirements.request_states(
+        spark.createDataFrame([(k, [10] if k == 1 else [10, 20, 30][:k]) for k in (1, 2, 3)],
+                              "request_id bigint, jobs array<bigint>"), shop).collect()}
+    assert states[1] >= states[2] >= states[3]

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from platematch.plans import worklist
 from platematch.schemas import TABLES
-from platematch.sources import (clean_erp_columns, count_rejects, load_domain, worklist_csv_lines, write_domain,
-                                write_worklist_csv)
+from platematch.sources import (catalog_source, clean_erp_columns, count_rejects, load_domain, order_result, shown_hours,
+                                worklist_csv_lines, write_analysis, write_domain, write_worklist_csv)
 from tests.shop import build_domain
 
 
@@ -58,3 +58,25 @@ def test_csv_is_exact(spark, tmp_path):
     write_worklist_csv(rows, str(tmp_path / "out"))
     text = b"".join(open(f, "rb").read() for f in sorted(glob.glob(str(tmp_path / "out" / "part-*")))).decode()
     assert text == "\r\n".join(["Bolla;IDNES;NSDSC;MADSC;DTEXP;NSNOT;TEMPO;RIPET", lines[2], lines[1], ""])
+
+
+def test_results_in_order(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2), (1, 9), (0, 5)], "request_id int, TrackingId int").withColumns(
+        {"Compatible": F.lit(1), "WarehouseResidualQuantity": F.lit(0)})
+    assert [r.TrackingId for r in order_result(rows, "sheets").collect()] == [5, 2, 9]
+    assert [r.Id for r in order_result(spark.createDataFrame([(1,), (3,)], "Id int"), "headers").collect()] == [3, 1]
+    assert [r.IdNes for r in order_result(spark.createDataFrame([(1,), (3,)], "IdNes int"), "worklist").collect()] == [3, 1]
+    write_analysis({"sheets": rows.coalesce(1)}, str(tmp_path / "a"), ordered=True)
+    assert [r.TrackingId for r in spark.read.parquet(str(tmp_path / "a" / "sheets")).collect()] == [5, 2, 9]
+
+
+def test_hours_as_shown(spark):
+    df = spark.createDataFrame([(Decimal("1.505"),), (Decimal("-0.005"),), (Decimal("2"),), (None,)], "h decimal(18,6)")
+    assert [r.s for r in df.select(shown_hours(F.col("h")).alias("s")).collect()] == ["1.51", "-0.01", "2.00", None]
+
+
+def test_tables_of_the_catalog(spark):
+    spark.createDataFrame([("M1 ", "saw")], "macod string, madsc string").createOrReplaceTempView("a_mac")
+    got = load_domain(spark, catalog_source(), ["a_mac", "x_ghost"])
+    assert got["a_mac"].first().macod == "M1" and got["x_ghost"].isEmpty()
+    spark.catalog.dropTempView("a_mac")
