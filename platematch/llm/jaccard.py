@@ -9,8 +9,8 @@ Which groups a query has to ask follows from the prefix rule: two sets that link
 share a token among the first ``n - ceil(percent * n / 100) + 1`` of each, in any
 order of the tokens that is the same for all sets.  The order here: the tokens
 below a fixed hash value (the counted region, about a quarter of them) by how
-many rows have them and then by hash, then all others by hash.  Rare tokens come
-first, so a passage that many documents share is not met in their prefixes, and
+many rows have them and then by hash; then all others by how many of the sets
+have them whose prefix reaches beyond the region.  Rare tokens come first, so a passage that many documents share is not met in their prefixes, and
 a set whose prefix nobody else has a token of asks no group at all.  Tokens found
 in one class only need not be kept: they fill the prefix and meet nothing.
 
@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platematch.functions.skew import left_lookup
@@ -39,7 +39,8 @@ from platematch.llm.similar import bit_of, classes_by_links, number_filter
 from platematch.session import stage
 
 BLANKS = " \t\n\x0b\x0c\r"
-REGION = 0.25
+REGION = 0.3
+SMALL = 200
 _MANY = np.uint64(0x100000001B3)
 
 
@@ -78,47 +79,74 @@ def prefix_length(n, percent: int):
 
 
 def described(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, class, region, more) per row of (doc_id, text).
+    """(doc_id, n, class, small, region, more) per row of (doc_id, text).
 
-    ``region`` holds the tokens below the limit of the counted region, ``more``
-    the tokens that the prefix needs beyond them, in hash order.
+    ``small`` holds all tokens of a set of at most SMALL.  For sets that may link
+    to larger ones, ``region`` holds the tokens of the counted region, and where
+    those are fewer than the prefix, ``more`` holds all others, so that they are
+    counted as well.
     """
     limit = np.int64(-(1 << 63) + int(REGION * 2 ** 64))
 
     def describe(batches: Iterator[pa.RecordBatch]):
+        lists = pa.list_(pa.int64())
         for part in slices(batches, "text"):
             rows = []
             for tokens in shingle_sets(part.column(1), size):
-                low = int(np.searchsorted(tokens, limit))
-                wanted = prefix_length(len(tokens), percent) if len(tokens) else 0
+                n = len(tokens)
+                low = int(np.searchsorted(tokens, limit)) if 100 * n >= percent * SMALL else 0
+                short = 100 * n >= percent * SMALL and low < prefix_length(n, percent)
                 name = np.int64(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).view(np.int64))
-                rows.append((len(tokens), name if len(tokens) else None, tokens[:low], tokens[low:max(low, wanted)]))
+                rows.append((n, name if n else None, tokens if n <= SMALL else tokens[:0], tokens[:low],
+                             tokens[low:] if short else tokens[:0]))
+            columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), pa.array([r[0] for r in rows], pa.int64()),
-                 pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64())),
-                 pa.array([r[3] for r in rows], pa.list_(pa.int64()))], ["doc_id", "n", "class", "region", "more"])
+                [part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(
+                    columns, (pa.int64(), pa.int64(), lists, lists, lists)))],
+                ["doc_id", "n", "class", "small", "region", "more"])
 
-    return documents.mapInArrow(
-        describe, "doc_id long, n long, class long, region array<long>, more array<long>")
+    return documents.mapInArrow(describe, "doc_id long, n long, class long, small array<long>, region array<long>, "
+                                          "more array<long>")
 
 
 def prefix_postings(described_docs: DataFrame, percent: int) -> DataFrame:
-    """(key, item): the tokens of each class's prefix that another class has as well."""
-    sets = described_docs.where(F.col("class").isNotNull()).select(
-        F.col("class").alias("item"), "n", "region", "more")
-    tokens = sets.select("item", "n", F.size("region").alias("in_region"), F.explode("region").alias("key"))
-    shared = tokens.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last"),
-                                       F.count(F.lit(1)).alias("rows")).where(
+    """(key, item, n, early): the tokens of each class's prefix that another class has as well."""
+    sets = described_docs.where(F.col("class").isNotNull()).select(F.col("class").alias("item"), "n", "small", "region", "more")
+    small = _rarest(sets.where(F.size("small") > 0), "small", F.lit(0), percent)
+    inside = _rarest(sets.where(F.size("region") > 0), "region", F.lit(0), percent)
+    # Only sets with too few tokens in the region look beyond it, and all of those do so with all their tokens.
+    beyond = _rarest(sets.where(F.size("more") > 0), "more", F.size("region"), percent)
+    # Two orders, two sets of keys.
+    small = small.withColumn("key", F.col("key").bitwiseXOR(F.lit(0x5DEECE66D)))
+    return small.unionByName(inside).unionByName(beyond)
+
+
+def _rarest(sets: DataFrame, tokens: str, before: Column, percent: int) -> DataFrame:
+    """(key, item, n, early): what several classes have of the prefix of each set, rare tokens first.
+
+    ``before`` tokens come ahead of those in the column ``tokens``, and of these
+    the ones that no other class has.  A place is early if it is within the first
+    ``n - ceil(2 t / (1 + t) n) + 1``, where the smaller of two linked sets must
+    meet the other.
+    """
+    rows = sets.select("item", "n", F.size(tokens).alias("size"), before.alias("before"), F.explode(tokens).alias("key"))
+    shared = rows.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last"),
+                                     F.count(F.lit(1)).alias("rows")).where(
         F.col("_first") != F.col("_last")).select("key", "rows")
     # Copies of a class bring the same rows; the set is as large as one document's tokens.
-    met = tokens.join(shared, "key").groupBy("item", "n", "in_region").agg(
+    met = rows.join(shared, "key").groupBy("item", "n", "size", "before").agg(
         F.sort_array(F.collect_set(F.struct("rows", "key"))).alias("shared"))
-    wanted = F.col("n") - F.ceil(F.col("n") * percent / F.lit(100)).cast("long") + 1
-    alone = F.col("in_region") - F.size("shared")
-    take = F.greatest(F.lit(0), wanted - alone).cast("int")
-    first = met.select("item", F.explode(F.slice("shared", 1, take)).alias("s")).select("s.key", "item")
-    beyond = sets.where(F.size("more") > 0).select(F.explode("more").alias("key"), "item").distinct()
-    return first.unionByName(beyond)
+
+    def first(share: Column) -> Column:
+        return F.col("n") - F.ceil(F.col("n") * share).cast("long") + 1
+
+    ahead = F.col("before") + F.col("size") - F.size("shared")
+    kept = met.select("item", "n", ahead.alias("ahead"), F.slice(
+        "shared", 1, F.greatest(F.lit(0), first(F.lit(percent) / 100) - ahead).cast("int")).alias("shared"))
+    placed = kept.select("item", "n", "ahead", F.posexplode("shared").alias("at", "s"))
+    # A little under the exact share: rounding must not lose a place.
+    return placed.select("s.key", "item", "n", (
+        F.col("ahead") + F.col("at") + 1 <= first(F.lit(2 * percent / (100 + percent) - 1e-9))).alias("early"))
 
 
 def _bytes_to_set(data: bytes) -> np.ndarray:

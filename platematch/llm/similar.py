@@ -1,7 +1,9 @@
 """Sets, links and components: what the similarity operators share.
 
-A posting (key, item) says that an item is found under a key.  Items are named
-by a 64-bit number, sets are sorted arrays of 64-bit hashes.
+A posting (key, item, n, early) says that an item of size ``n`` is found under a
+key.  ``early`` keys are those under which the smaller of two linked items must
+be found at least once.  Items are named by a 64-bit number, sets are sorted
+arrays of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -57,17 +59,24 @@ def _settled(edges: DataFrame) -> bool:
 
 
 def shared_keys(postings: DataFrame) -> DataFrame:
-    """(key, center, n) of keys with at least two items; the center is the smallest item."""
-    return postings.groupBy("key").agg(
-        F.min("item").alias("center"), F.max("item").alias("_last"), F.count(F.lit(1)).alias("n")).where(
-        F.col("center") != F.col("_last")).drop("_last")
+    """(key) of keys with at least two items."""
+    return postings.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last")).where(
+        F.col("_first") != F.col("_last")).select("key")
 
 
 def closest_centers(postings: DataFrame) -> DataFrame:
-    """(a, b): each item with the center that it meets under most keys."""
-    met = postings.join(shared_keys(postings), "key").where(F.col("item") != F.col("center"))
+    """(a, b): each item with the center that it meets under most keys.
+
+    A key's center is the item with most postings: what copies have been edited
+    least shares most with the others, and so links to most of them.
+    """
+    found = postings.select("key", "item")
+    held = found.groupBy("item").agg(F.count(F.lit(1)).alias("held"))
+    centers = found.join(held, "item").groupBy("key").agg(
+        F.max(F.struct("held", "item"))["item"].alias("center"))
+    met = found.join(centers, "key").where(F.col("item") != F.col("center"))
     return met.groupBy("item", "center").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(
-        F.max_by("center", F.struct("n", -F.col("center"))).alias("center")).select(
+        F.max(F.struct("n", "center"))["center"].alias("center")).select(
         F.col("item").alias("a"), F.col("center").alias("b"))
 
 
@@ -127,15 +136,18 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
     """(a, b): an alike pair for every item and group of another component that share a key and hold one.
 
     ``groups`` (item, group) are sets of items known to be connected, so one link
-    joins an item to all of a group.  An item asks the groups with a smaller name
-    than its own that it shares a key with.  Groups with many members or many
-    askers are cut into cells of bounded size; each asker meets each member in
-    one cell.
+    joins an item to all of a group.  Of two items with a common key the larger
+    one asks, if the sizes ``n`` allow a link and the key is ``early`` for the
+    smaller one.  Groups with many members or many askers are cut into cells of
+    bounded size; each asker meets each member in one cell.
     """
     placed = stage(postings.join(groups, "item"), "placed")
-    heads = placed.select("key", F.col("group").alias("asked")).distinct()
-    asked = stage(placed.join(heads, "key").where(F.col("asked") < F.col("group")).select(
-        "item", F.col("asked").alias("group")).distinct(), "asked")
+    early = placed.where("early").select(
+        "key", F.col("item").alias("i_item"), F.col("n").alias("i_n"), F.col("group").alias("i_group"))
+    smaller = F.struct("i_n", "i_item") < F.struct(F.col("n").alias("i_n"), F.col("item").alias("i_item"))
+    sized = 100 * F.col("i_n") >= percent * F.col("n")
+    asked = stage(placed.join(early, (placed["key"] == early["key"]) & (F.col("group") != F.col("i_group")) & smaller & sized)
+                  .select("item", F.col("i_group").alias("group")).distinct(), "asked")
     sizes = asked.groupBy("group").agg(F.count(F.lit(1)).alias("askers")).join(
         groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "group").select(
         "group", F.ceil(F.col("members") / member_rows).cast("int").alias("rows"),
