@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 from contextlib import contextmanager
 from pathlib import Path
 
@@ -94,6 +95,21 @@ def stages():
                 remove_path(*what)
 
 
+def distilled(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Stages what ``build`` returns and removes what was staged on the way there."""
+    with stages():
+        result = build()
+        outer = _open[:-1]
+        inner, _open[:] = _open[-1], outer  # the result itself belongs to the caller
+        try:
+            kept = stage(result, name)
+            if stage_dir(kept.sparkSession) is None:
+                kept.count()  # fills the cache while what it reads is still there
+        finally:
+            _open.append(inner)
+    return kept
+
+
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a folder through the file system that its path names."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
