@@ -42,7 +42,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-copies: the one that names it.  Rows of one id stay or go together."""
     workers_import(spark)
-    named = stage(jaccard.jaccard_components(docs), "near")
+    named = jaccard.jaccard_components(docs)
     copies = named.where(F.col("component_id") != F.col("doc_id")).select("doc_id").distinct()
     return _same_columns(docs.join(copies, "doc_id", "left_anti"), docs)
 

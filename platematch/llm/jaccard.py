@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from platematch.functions.skew import left_lookup
 from platematch.llm.batches import slices, split_words
 from platematch.llm.similar import bit_of, classes_by_links, number_filter
-from platematch.session import stage
+from platematch.session import distilled, stage
 
 BLANKS = " \t\n\x0b\x0c\r"
 REGION = 0.3
@@ -180,11 +180,14 @@ def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, i
                        text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is named by its smallest doc_id."""
     docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return distilled("components", lambda: _components(docs, size, percent))
+
+
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     known = stage(described(docs, size, percent), "described")
     classes = stage(known.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("item")).agg(
         F.min("doc_id").alias("doc_id")), "classes")
-    postings = prefix_postings(known, percent)
-    postings = stage(postings, "postings")
+    postings = stage(prefix_postings(known, percent), "postings")
     keys = postings.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last")).where(
         F.col("_first") != F.col("_last")).select("key")
     postings = stage(postings.join(keys, "key", "left_semi"), "postings")

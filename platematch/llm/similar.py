@@ -132,22 +132,22 @@ def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: in
 
 
 def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set: ToSet, percent: int,
-                member_rows: int = 128, query_rows: int = 512) -> DataFrame:
+                member_rows: int = 128, query_rows: int = 512, call_rows: int = 500) -> DataFrame:
     """(a, b): an alike pair for every item and group of another component that share a key and hold one.
 
     ``groups`` (item, group) are sets of items known to be connected, so one link
     joins an item to all of a group.  Of two items with a common key the larger
-    one asks, if the sizes ``n`` allow a link and the key is ``early`` for the
-    smaller one.  Groups with many members or many askers are cut into cells of
-    bounded size; each asker meets each member in one cell.
+    one asks the group of the smaller, if the key is ``early`` for that one; of a
+    group, the smallest and largest size ``n`` with an early key tell whether a
+    link is possible.  Groups with many members or many askers are cut into cells
+    of bounded size; each asker meets each member in one cell.
     """
     placed = stage(postings.join(groups, "item"), "placed")
-    early = placed.where("early").select(
-        "key", F.col("item").alias("i_item"), F.col("n").alias("i_n"), F.col("group").alias("i_group"))
-    smaller = F.struct("i_n", "i_item") < F.struct(F.col("n").alias("i_n"), F.col("item").alias("i_item"))
-    sized = 100 * F.col("i_n") >= percent * F.col("n")
-    asked = stage(placed.join(early, (placed["key"] == early["key"]) & (F.col("group") != F.col("i_group")) & smaller & sized)
-                  .select("item", F.col("i_group").alias("group")).distinct(), "asked")
+    early = placed.where("early").groupBy("key", F.col("group").alias("asked")).agg(
+        F.min("n").alias("least"), F.max("n").alias("most"))
+    sized = (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+    asked = stage(placed.join(early, (placed["key"] == early["key"]) & (F.col("group") != F.col("asked")) & sized)
+                  .select("item", F.col("asked").alias("group")).distinct(), "asked")
     sizes = asked.groupBy("group").agg(F.count(F.lit(1)).alias("askers")).join(
         groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "group").select(
         "group", F.ceil(F.col("members") / member_rows).cast("int").alias("rows"),
@@ -161,12 +161,23 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
                 .join(sets, "item").select(*[F.col(c).alias(c) for c in (*cell, "item", "data")]))
 
     def search(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-        found = list(open_group([to_set(x) for x in members["data"]], [to_set(x) for x in queries["data"]], percent))
-        return pd.DataFrame({"a": queries["item"].to_numpy()[[q for q, _ in found]],
-                             "b": members["item"].to_numpy()[[m for _, m in found]]}, dtype="int64")
-
-    return cells(groups, "rows", "slots").groupBy(*cell).cogroup(
-        cells(asked, "slots", "rows").groupBy(*cell)).applyInPandas(search, "a long, b long")
+        sets: dict[int, np.ndarray] = {}
+        for side in (members, queries):
+            for item, data in zip(side["item"], side["data"]):
+                if item not in sets:
+                    sets[item] = to_set(data)
+        held = {key: rows["item"].to_numpy() for key, rows in members.groupby(cell)}
+        found = []
+        for key, rows in queries.groupby(cell):
+            mine, askers = held[key], rows["item"].to_numpy()
+            found += [(askers[q], mine[m]) for q, m in open_group(
+                [sets[i] for i in mine], [sets[i] for i in askers], percent)]
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    # Many cells are tiny: a call takes a number of them, about ``call_rows`` rows.
+    calls = F.pmod(F.xxhash64(*cell), F.lit(max(1, asked.count() // call_rows))).cast("int").alias("call")
+    return cells(groups, "rows", "slots").select(calls, "*").groupBy("call").cogroup(
+        cells(asked, "slots", "rows").select(calls, "*").groupBy("call")).applyInPandas(search, "a long, b long")
 
 
 def classes_by_links(postings: DataFrame, sets: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
