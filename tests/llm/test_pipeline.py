@@ -42,8 +42,9 @@ def test_pipeline_on_planted_rows(spark):
     assert set(kept["language_id"]) == kept_by_language(rows)
     assert 23 not in kept["line_dedup"] and kept["line_dedup"][24].startswith("one more line")
     assert set(text) <= set(kept["line_dedup"])
-    # Of the two that run the lines of document 6 together, one is left.
-    assert len({40, 41} & set(kept["ngram_jaccard_join"])) == 1 and set(text) <= set(kept["ngram_jaccard_join"])
+    # Two run the lines of document 6 together: the second is one line like the first's, that one a copy of 6.
+    assert {40, 41} & set(kept["line_dedup"]) == {40}
+    assert {6, 40} & set(kept["ngram_jaccard_join"]) == {6} and set(text) <= set(kept["ngram_jaccard_join"])
     assert {30, 31} & set(kept["decontamination"]) == set() and set(text) <= set(kept["decontamination"])
     assert {r.doc_id for r in docs.collect()} == set(kept["decontamination"])
 
