@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platematch.llm.batches import gather
 from platematch.session import stage
 
 ToSet = Callable[[bytes], np.ndarray]
@@ -121,14 +122,22 @@ def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: in
     The union of the members' sets bounds a query's overlap with each of them; a
     group whose union holds less of the query than the threshold asks is not opened.
     """
-    union = np.unique(np.concatenate(members)) if members else np.zeros(0, np.int64)
+    if not members:
+        return
+    tokens = np.concatenate(members)
+    order = np.argsort(tokens, kind="stable")
+    tokens, owners = tokens[order], np.repeat(np.arange(len(members)), [len(m) for m in members])[order]
+    sizes = np.array([len(m) for m in members])
     for q, query in enumerate(queries):
-        if 100 * overlap(query, union) < percent * len(query):
+        first = np.searchsorted(tokens, query)
+        found = np.searchsorted(tokens, query, side="right") - first
+        if not len(query) or 100 * (found > 0).sum() < percent * len(query):
             continue
-        for m, member in enumerate(members):
-            if alike(query, member, percent):
-                yield q, m
-                break
+        # Overlaps with all members at once, over the places of the query's tokens.
+        common = np.bincount(gather(owners, first, found), minlength=len(members))
+        links = np.flatnonzero(100 * common >= percent * (len(query) + sizes - common))
+        if len(links):
+            yield q, int(links[0])
 
 
 def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set: ToSet, percent: int,
