@@ -141,7 +141,7 @@ def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: in
 
 
 def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set: ToSet, percent: int,
-                member_rows: int = 128, query_rows: int = 512, call_rows: int = 500) -> DataFrame:
+                member_rows: int = 128, query_rows: int = 512, call_rows: int = 1000) -> DataFrame:
     """(a, b): an alike pair for every item and group of another component that share a key and hold one.
 
     ``groups`` (item, group) are sets of items known to be connected, so one link
@@ -159,7 +159,7 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
                   .select("item", F.col("asked").alias("group")).distinct(), "asked")
     sizes = asked.groupBy("group").agg(F.count(F.lit(1)).alias("askers")).join(
         groups.groupBy("group").agg(F.count(F.lit(1)).alias("members")), "group").select(
-        "group", F.ceil(F.col("members") / member_rows).cast("int").alias("rows"),
+        "group", "askers", "members", F.ceil(F.col("members") / member_rows).cast("int").alias("rows"),
         F.ceil(F.col("askers") / query_rows).cast("int").alias("slots"))
 
     cell = ["group", "c_rows", "c_slots"]
@@ -183,8 +183,9 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
                 [sets[i] for i in mine], [sets[i] for i in askers], percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
 
-    # Many cells are tiny: a call takes a number of them, about ``call_rows`` rows.
-    calls = F.pmod(F.xxhash64(*cell), F.lit(max(1, asked.count() // call_rows))).cast("int").alias("call")
+    # Many cells are tiny: a call takes a number of them, about ``call_rows`` rows with the copies.
+    total = sizes.agg(F.sum(F.col("askers") * F.col("rows") + F.col("members") * F.col("slots"))).first()[0] or 0
+    calls = F.pmod(F.xxhash64(*cell), F.lit(max(1, total // call_rows))).cast("int").alias("call")
     return cells(groups, "rows", "slots").select(calls, "*").groupBy("call").cogroup(
         cells(asked, "slots", "rows").select(calls, "*").groupBy("call")).applyInPandas(search, "a long, b long")
 
