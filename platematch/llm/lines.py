@@ -1,7 +1,8 @@
 """Fuzzy line de-duplication by MinHash.
 
-Lines are sets of character shingles.  One-permutation MinHash signatures, made
-from one hash per shingle, are cut into bands with high recall; lines that share
+Lines are sets of character shingles.  MinHash signatures, one minimum for each of
+BANDS x ROWS mixes of every shingle's hash, are cut into bands with high recall;
+as each minimum has its own mix, that holds for lines of any length.  Lines that share
 a band are verified by exact Jaccard similarity; distributed union-find joins
 what is linked, and of each component only the first line of the first document
 stays.  Equal lines are one item from the start, so a line that stands in a third
@@ -33,10 +34,11 @@ from platematch.llm.similar import bit_of, classes_by_links, number_filter, shar
 from platematch.session import distilled, stage
 
 SHINGLE, BANDS, ROWS = 8, 12, 5
-BINS = 64
 BLANKS = " \t\n\x0b\x0c\r"
-_EMPTY = np.uint64(1 << 32)
 _SEEN = 1_000_000
+_BLOCK = 1 << 15  # shingles mixed at a time, or one line
+# One mix of the shingle hashes for each place of a signature.
+_MIXES = np.random.Generator(np.random.Philox(key=9)).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -72,20 +74,21 @@ def shingle_set(data: bytes) -> np.ndarray:
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """One row of BINS minima per line; an empty bin borrows from the next filled one, marked by its distance."""
+    """One row of BANDS x ROWS minima per line, each of another mix of all its shingles."""
     hashes, sizes = shingle_hashes(lines)
-    place = np.repeat(np.arange(len(lines)) * BINS, sizes) + (hashes >> np.uint64(58)).astype(np.int64)
-    minima = np.full(len(lines) * BINS, _EMPTY)
-    np.minimum.at(minima, place, (hashes >> np.uint64(20)) & np.uint64(0xFFFFFFFF))
-    minima = minima.reshape(-1, BINS)
-    sparse = np.flatnonzero((minima == _EMPTY).any(axis=1))
-    filled = minima[sparse]
-    for distance in range(1, BINS):
-        lent = np.roll(minima[sparse], -distance, axis=1)
-        take = (filled == _EMPTY) & (lent != _EMPTY)
-        filled[take] = lent[take] + np.uint64(distance << 33)
-    minima[sparse] = filled
-    return minima
+    hashes, ends = (hashes >> np.uint64(32)).astype(np.uint32), np.cumsum(sizes)
+    minima = np.empty((BANDS * ROWS, len(lines)), np.uint32)
+    first, begin = 0, 0
+    while first < len(lines):
+        last = max(first + 1, int(np.searchsorted(ends, begin + _BLOCK, side="right")))
+        block, starts = hashes[begin:ends[last - 1]], ends[first:last] - sizes[first:last] - begin
+        for k, (seed, factor) in enumerate(_MIXES):
+            mixed = (block ^ seed) * (factor | np.uint32(1))
+            mixed ^= mixed >> np.uint32(15)
+            mixed *= np.uint32(0x85EBCA6B)
+            np.minimum.reduceat(mixed, starts, out=minima[k, first:last])
+        first, begin = last, ends[last - 1]
+    return minima.T.astype(np.uint64)
 
 
 def band_keys(minima: np.ndarray) -> np.ndarray:

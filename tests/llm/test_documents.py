@@ -174,6 +174,22 @@ def test_line_dedup(spark):
     assert got[53].text == "ab\nabc"
 
 
+def test_near_lines_of_any_length_share_a_band():
+    rng = np.random.default_rng(3)
+    for length in range(10, 81, 5):
+        short, long = [], []
+        n = length - lines.SHINGLE + 1
+        for _ in range(1500):  # pairs at or right above 0.8: a line, and the same with some characters more
+            text = "".join(map(chr, rng.integers(97, 123, length + n // 4)))
+            short.append(text[:length])
+            long.append(text)
+        one, two = lines.band_keys(lines.signatures(short)), lines.band_keys(lines.signatures(long))
+        sets = [[{x[k:k + lines.SHINGLE] for k in range(len(x) - lines.SHINGLE + 1)} for x in side] for side in (short, long)]
+        alike = [100 * len(a & b) >= 80 * len(a | b) for a, b in zip(*sets)]
+        found = (one == two).any(axis=1)[alike]
+        assert len(found) >= 1400 and found.mean() >= 0.98, length
+
+
 def test_line_dedup_ties_and_names(spark):
     rows = [(1, "the very same line here", "n"), (1, "the very same line here", "n"), (None, "the very same line here", "n")]
     schema = "doc_id bigint, text string, n_lines string"
