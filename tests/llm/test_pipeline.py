@@ -1,5 +1,6 @@
 """The pipeline on a small corpus, stage by stage, and the queries that SQL cannot express."""
 
+import random
 import sys
 from pathlib import Path
 
@@ -49,6 +50,26 @@ def test_pipeline_on_planted_rows(spark):
     assert {r.doc_id for r in docs.collect()} == set(kept["decontamination"])
 
 
+def test_language_stage_rejects_what_is_in_no_learned_language(spark):
+    rng = random.Random(5)
+    scripts = {"cyrillic": (0x430, 0x450), "greek": (0x3B1, 0x3CA), "cjk": (0x4E00, 0x9FA0), "hebrew": (0x5D0, 0x5EB), "latin": (97, 123)}
+    clean = [(r.doc_id, r.text, r.lang) for r in spark.read.parquet(f"{SMALL}/documents.parquet").collect()]
+    short = [(10_000 + i, t[:k], None) for i, t, _ in clean[:60] if t for k in (12, 100) if len(t) > 400]
+    foreign = {}
+    for name, (low, high) in scripts.items():
+        for words in (12, 30, 200):
+            for _ in range(20):
+                text = " ".join("".join(chr(rng.randrange(low, high)) for _ in range(rng.randint(5, 9))) for _ in range(words))
+                foreign[20_000 + len(foreign)] = (name, text)
+    rows = clean + short + [(i, t, None) for i, (_, t) in foreign.items()]
+    docs = spark.createDataFrame([(i, t, lang, "s", None) for i, t, lang in rows],
+                                 "doc_id bigint, text string, lang string, source string, n_chars bigint")
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, SMALL).collect()}
+    assert kept_by_language([(i, t) for i, t, _ in clean + short]) <= kept
+    passed = [foreign[i][0] for i in kept if i in foreign]
+    assert set(passed) <= {"latin"} and passed.count("latin") <= 3
+
+
 def test_pipeline_of_nothing(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string, lang string, source string, n_chars bigint")
     for name, step in corpus_pipeline.STAGES:
