@@ -116,4 +116,72 @@ SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_s
 FROM figures
 """
 
-ORACLE = {"op3_chat_formatting": CHAT, "op4_url_filters": URLS, "op8_quality_rules": QUALITY}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+SPELLING = rf"""
+WITH RECURSIVE crc_table AS MATERIALIZED (  -- of CRC-32, reflected
+    SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i)
+                ORDER BY i) AS crc FROM (SELECT unnest(range(256)) AS i)
+), found AS (
+    SELECT doc_id, run, count(*) AS times FROM (
+        SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{{C0}}-\x{{FF}}]+')), '{_UPPER}', '{_LOWER}') AS run
+        FROM documents) WHERE length(run) >= 7 GROUP BY ALL
+), coded AS (
+    SELECT run, times, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS bytes FROM found
+), hashed AS (
+    SELECT run, times, xor(4294967295, list_reduce(
+        list_transform(range(length(bytes) // 2), lambda k: ('0x' || substr(bytes, 2 * k + 1, 2))::BIGINT),
+        lambda h, b: xor(h // 256, crc[xor(h % 256, b) + 1]), 4294967295)) AS h
+    FROM coded, crc_table
+), words AS MATERIALIZED (
+    SELECT word, sum(times)::BIGINT AS n FROM (
+        SELECT times, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT)
+                                                || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+    WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+), shorter AS (
+    SELECT word, n, i, substr(word, 1, i::INT) || substr(word, i::INT + 2) AS part
+    FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)
+), pairs AS (
+    SELECT a.word, a.n, b.word AS near, b.n AS near_n FROM shorter a JOIN shorter b USING (i, part) WHERE a.word <> b.word
+    UNION SELECT s.word, s.n, w.word, w.n FROM shorter s JOIN words w ON s.part = w.word
+    UNION SELECT w.word, w.n, s.word, s.n FROM shorter s JOIN words w ON s.part = w.word
+), best AS (
+    SELECT word, count(*) AS n_near, max(near_n) AS most,
+           arg_min(near, near) FILTER (WHERE place = 1) AS near
+    FROM (SELECT *, rank() OVER (PARTITION BY word ORDER BY near_n DESC) AS place FROM pairs) GROUP BY word
+), formed AS MATERIALIZED (
+    SELECT w.word, w.n, coalesce(n_near, 0)::BIGINT AS n_near,
+           CASE WHEN most >= 10 * w.n THEN near END AS form, CASE WHEN most >= 10 * w.n THEN most END AS form_n
+    FROM words w LEFT JOIN best USING (word)
+), chain AS (
+    SELECT word, form AS last, 1 AS hops FROM formed WHERE form IS NOT NULL
+    UNION ALL SELECT c.word, f.form, c.hops + 1 FROM chain c JOIN formed f ON f.word = c.last WHERE f.form IS NOT NULL
+), ends AS (SELECT word, arg_max(last, hops) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM formed LEFT JOIN ends USING (word)
+"""
+
+HARD_NEGATIVES = """
+WITH vectors AS (
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+           list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS alike,
+           list_dot_product(a.v, b.v)::BIGINT AS score
+    FROM vectors a JOIN vectors b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id
+), positives AS (
+    SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scored WHERE alike
+    QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+), found AS (
+    SELECT anchor_id, positive_id, other_id AS negative_id, positive_score, score AS negative_score,
+           row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id) AS rank
+    FROM positives JOIN scored USING (anchor_id)
+    WHERE NOT alike AND 80 * positive_score <= 100 * score AND score <= positive_score
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
+
+ORACLE = {"op3_chat_formatting": CHAT, "op4_url_filters": URLS, "op8_quality_rules": QUALITY,
+          "op12_spelling_variants": SPELLING, "op13_hard_negatives": HARD_NEGATIVES}

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platematch.llm import chat, decontaminate, jaccard, langid, lines, packing, quality, repeats, toxicity, urls
-from platematch.session import workers_import
+from platematch.llm import (bestfit, chat, decontaminate, hardneg, jaccard, langid, lines, packing, quality, repeats,
+                            spelling, toxicity, urls)
+from platematch.session import stage, workers_import
 
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 # Host labels whose pages make up the URL list of the query.
@@ -82,6 +83,32 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.severity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_best_fit_packing(spark, sf_dir):
+    """All documents in as few windows of 4096 tokens as large-item matching finds."""
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return bestfit.best_fit(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_spelling_variants(spark, sf_dir):
+    """Words of all documents with their more frequent form; every 31st (document, word) loses a letter."""
+    found = spelling.letter_runs(table(spark, sf_dir, "documents"), least=7, keep=("doc_id",))
+    run, size = F.col("run"), F.length("run")
+    named = found.withColumn("h", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run)))
+    cut = spelling.without_letter(run, F.pmod(F.col("h"), size).cast("int"))
+    runs = named.select(F.when(F.col("h") % 31 == 0, cut).otherwise(run).alias("run"))
+    return spelling.spelling_variants(stage(spelling.word_counts(runs), "spelling_words"))
+
+
+def op13_hard_negatives(spark, sf_dir):
+    """Hard negatives of every 100th vector; every 7th vector is taken under the next label."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    vectors = hardneg.labelled_vectors(rows, "vec_id", "label", "embedding", scale=256)
+    return hardneg.mine_hard_negatives(vectors, F.col("id") % 100 == 0)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_suffix_array_dedup, op2_decontamination, op3_chat_formatting, op4_url_filters, op5_language_id, op6_ngram_jaccard_join, op7_packing, op8_quality_rules, op9_line_dedup,
-    op10_toxicity)}
+    op10_toxicity, op11_best_fit_packing, op12_spelling_variants, op13_hard_negatives)}
