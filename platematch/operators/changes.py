@@ -136,7 +136,8 @@ def delete_lists(headers: DataFrame, rows: DataFrame, deletes: DataFrame) -> tup
     return kept_headers, kept_rows, rejected
 
 
-def _listable() -> Column:
+def listable() -> Column:
+    """Whether an entry names an operator and has a place in the order."""
     return clean_parameter(F.col("operator")).isNotNull() & F.col("seq").isNotNull()
 
 
@@ -147,14 +148,20 @@ def create_lists(headers: DataFrame, new: DataFrame) -> DataFrame:
     types that the header table has.  See :func:`rejected_lists` for what is left out.
     """
     ids = headers.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
-    numbered = newest_first_rank(new.where(_listable()), "seq", "_n", descending=False)
+    old = headers.select("id", "datacreazione", "operatore", "stato")
+    return old.unionByName(numbered_lists(new, ids + 1, old.schema))
+
+
+def numbered_lists(new: DataFrame, first_id: int | Column, target: T.StructType) -> DataFrame:
+    """The new headers alone, with ids from ``first_id`` on, in the types of ``target``."""
+    first = first_id if isinstance(first_id, Column) else F.lit(first_id).cast("bigint")
+    numbered = newest_first_rank(new.where(listable()), "seq", "_n", descending=False)
     created = numbered.select(
-        (ids + F.col("_n")).alias("id"), F.col("created_at").cast("timestamp_ntz").alias("datacreazione"),
+        (first + F.col("_n") - 1).alias("id"), F.col("created_at").cast("timestamp_ntz").alias("datacreazione"),
         clean_parameter(F.col("operator")).alias("operatore"),
         F.coalesce(clean_parameter(F.col("state")), F.lit(NEW_LIST_STATE)).alias("stato"))
-    old = headers.select("id", "datacreazione", "operatore", "stato")
-    return old.unionByName(coerce_for_target(created, old.schema))
+    return coerce_for_target(created, target)
 
 
 def rejected_lists(new: DataFrame) -> DataFrame:
-    return new.where(~_listable())
+    return new.where(~listable())

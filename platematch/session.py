@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable
 from contextlib import contextmanager
@@ -51,6 +52,18 @@ def stage_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or None
 
 
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A new folder name in the shared folder; on a single machine without one, in its temporary folder."""
+    folder = stage_dir(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        folder = tempfile.gettempdir()
+    path = f"{folder}/{name}-{uuid.uuid4().hex}"
+    _note(("file", (spark, path)))
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and read it back, or keep it in the cache where no shared folder is named.
 
