@@ -260,6 +260,23 @@ DOMAIN_SQL["lookup_keys"] = """
 SELECT lpad(CAST(user_id * 50 + event_id % 50 AS STRING), 10, '0') AS key FROM events
 UNION SELECT 'N-' || CAST(user_id * 33 + event_id % 40 AS STRING) AS key FROM events"""
 
+# Searches: last digits of tickets, some with a wildcard or of two characters; a few words; blanks; one operator each or none.
+DOMAIN_SQL["searches"] = """
+SELECT event_id AS search_id, CASE WHEN event_id % 5000 = 7 THEN ' ' WHEN event_id % 5000 = 8 THEN NULL
+    WHEN event_id % 2500 = 9 THEN '%ASI_' WHEN event_id % 2500 = 10 THEN 'GH' WHEN event_id % 2500 = 11 THEN ' E_R '
+    WHEN event_id % 2500 = 12 THEN 'no such text' WHEN event_id % 2500 = 13 THEN 'N 2-H%GH'
+    WHEN event_id % 10 = 1 THEN substring(t, 6, 2) || '_' || substring(t, 9, 2)
+    WHEN event_id % 10 = 2 THEN substring(t, 5, 3) || '%' || substring(t, 9, 2)
+    ELSE substring(t, 6, 5) END AS search,
+  CASE WHEN event_id % 20 = 3 THEN ' OP' || CAST(user_id % 20 AS STRING) ELSE NULL END AS operator
+FROM (SELECT event_id, user_id, lpad(CAST(user_id * 50 + event_id % 60 AS STRING), 10, '0') AS t FROM events) AS e"""
+
+# Each list asks for a word, some for digits of a ticket.
+DOMAIN_SQL["list_searches"] = f"""
+SELECT s_suppkey AS list_id, CASE s_nationkey % 5 WHEN 0 THEN 'PLATE' WHEN 1 THEN ' N-1' WHEN 2 THEN '_7%'
+  WHEN 3 THEN '' ELSE lpad({_half('s_suppkey', 1)}, 3, '0') END AS search FROM supplier
+UNION ALL SELECT s_suppkey AS list_id, 'PLATE A' AS search FROM supplier WHERE s_nationkey % 5 > 2"""
+
 # Dirty ERP columns: the same fact arrives as timestamp text, yyyyMMdd text or number, clock text, localized decimals.
 DOMAIN_SQL["erp_dirty"] = """
 SELECT event_id AS id,

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fixtures.domain import register_view
-from platematch.functions import diff_tables
-from platematch.operators import catalogue, changes, matching, picklists, requirements, verify
-from platematch.operators.analysis import analyze
+from fixtures.results import RESULT_COLUMNS
+from platematch.functions import diff_tables, diff_tables_by_key
+from platematch.operators import catalogue, changes, incremental, matching, picklists, published, requirements, verify
+from platematch.operators.analysis import AnalysisResult, analyze, results_of_states
 from platematch.plans import worklist
 from platematch.schemas import TABLES
-from platematch.session import stage
+from platematch.session import stage, work_dir
 from platematch.sources import (clean_erp_columns, coerce_for_target, load_domain, rejected_rows, worklist_csv_lines)
+from platematch.streaming import scan_stream_to_store
 
 Query = Callable[[SparkSession, str], DataFrame]
 ERP_SPEC = {"due": "date", "due_number": "date", "hours": "hours", "pieces": "int", "amount": "int"}
@@ -99,11 +101,18 @@ def _coerce(d: Domain) -> DataFrame:
     return coerce_for_target(source, target)
 
 
-def _diff(d: Domain) -> DataFrame:
+def _compared(d: Domain) -> tuple[DataFrame, DataFrame]:
     ordered = d.tables["l_cmpa"].select("conum", F.col("pacod").cast("bigint").alias("part"))
     reserved = d.tables["workplanjobssheets"].select(
         F.col("workplanid").alias("conum"), F.floor(F.col("storelocationparttrackingid") / 100).alias("part"))
-    return diff_tables(ordered, reserved)
+    return ordered, reserved
+
+
+def _plan_versions(d: Domain) -> DataFrame:
+    """What the plan changes have changed, found by fingerprints of plan buckets."""
+    columns = ["idnes", "dtexp", "nsnot"]
+    plans, _ = changes.apply_plan_updates(d.tables["a_nes"], d.raw["plan_changes"])
+    return diff_tables_by_key(d.tables["a_nes"].select(*columns), plans.select(*columns), ["idnes"])
 
 
 def _jobs(d: Domain) -> DataFrame:
@@ -119,15 +128,54 @@ def _candidates(d: Domain) -> tuple[DataFrame, DataFrame]:
 
 
 def _analyze(d: Domain) -> DataFrame:
-    """One row per request: number of rows in each of the six results."""
-    result = analyze(d.requests, d.tables)
+    return _hashed_results(analyze(d.requests, d.tables))
+
+
+def _hashed_results(result: AnalysisResult) -> DataFrame:
+    """One row per request: for each result its number of rows, and the sum of a hash of each row."""
     counts = None
     for name, df in result.results().items():
-        one = df.groupBy("request_id").agg(F.count(F.lit(1)).alias("n")).select("request_id", F.lit(name).alias("result"), "n")
+        columns = RESULT_COLUMNS.get(name, [])
+        texts = [F.coalesce({"double": F.round(F.col(c).cast("double") * 1000).cast("bigint").cast("string"),
+                             "bool": F.col(c).cast("int").cast("string")}.get(kind, F.col(c).cast("string")), F.lit("~"))
+                 for c, kind in columns]
+        value = F.conv(F.substring(F.md5(F.concat_ws("|", *texts)), 1, 8), 16, 10).cast("bigint")
+        one = df.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("h")).select(
+            "request_id", F.lit(name).alias("result"), "n", "h")
         counts = one if counts is None else counts.unionByName(one)
-    return counts.groupBy("request_id").agg(*[
-        F.coalesce(F.max(F.when(F.col("result") == name, F.col("n"))), F.lit(0).cast("bigint")).alias(name)
-        for name in result.results()])
+
+    def of(name: str, column: str) -> Column:
+        return F.coalesce(F.max(F.when(F.col("result") == name, F.col(column))), F.lit(0).cast("bigint"))
+
+    return counts.groupBy("request_id").agg(
+        *[of(name, "n").alias(name) for name in result.results()],
+        *[of(name, "h").alias(f"{name}_hash") for name in RESULT_COLUMNS])
+
+
+def _analyze_changed(d: Domain) -> DataFrame:
+    """An analysis of the tables as they are, from one of tables and requests in which some rows were others."""
+    key = F.col
+    replaced = {
+        "l_mlpr": lambda t: t.where(key("idmlpr") % 97 != 0).withColumn("crqtr", F.when(key("idmlpr") % 89 == 0, None).otherwise(key("crqtr"))),
+        "a_par": lambda t: t.withColumn("padz1", F.when(key("pacod").cast("bigint") % 101 == 0, F.lit(99.0)).otherwise(key("padz1"))),
+        "l_cmpa": lambda t: t.where(key("idrow") % 211 != 0),
+        "a_lot": lambda t: t.withColumn("loclm", F.when(key("conum") % 199 == 0, -1).otherwise(key("loclm"))),
+        "l_odla": lambda t: t.where(key("idlav") % 307 != 0),
+        "a_nes": lambda t: t.withColumn("nscod", F.when(key("idnes") % 251 == 0, "N-other").otherwise(key("nscod"))),
+        "l_pcfo": lambda t: t.withColumn("pfdx1", F.when(key("idptc") % 113 == 0, key("pfdx1") * 2).otherwise(key("pfdx1"))),
+        "s_crn": lambda t: t.withColumn("crcod", F.when(key("idcrn") % 173 == 0, F.concat(F.lit("old "), key("crcod"))).otherwise(key("crcod"))),
+        "s_dmp": lambda t: t.withColumn("numeric1", F.when(key("iddmp") % 131 == 0, None).otherwise(key("numeric1"))),
+        "x_ghost": lambda t: t.withColumn("cutperformed", F.when(key("id") % 7 == 0, 1).otherwise(key("cutperformed"))),
+    }
+    old = {name: replaced.get(name, lambda t: t)(d.tables[name]) for name in TABLES}
+    requests = stage(d.requests, "requests_now")
+    before = requests.where(key("request_id") % 301 != 0).withColumn(
+        "only_available", (key("request_id") % 401 == 0) | key("only_available"))
+    usable, rejected = requirements.split_requests(requirements.normalize_requests(before))
+    states = stage(requirements.request_states(usable, old), "states")
+    results = {name: stage(df, f"previous_{name}") for name, df in results_of_states(states, old, rejected).results().items()}
+    previous = incremental.Previous(before, states, AnalysisResult(**results))
+    return _hashed_results(incremental.analyze_changed(previous, old, requests, d.tables).results)
 
 
 def _two(pair: tuple[DataFrame, DataFrame], tags: tuple[str, str], columns: list[str]) -> DataFrame:
@@ -163,6 +211,53 @@ def _by_ticket(d: Domain) -> DataFrame:
                                      F.lit(None).cast("bigint").alias("idnesting"), "ticket"))
 
 
+def _list_store(d: Domain):
+    """A store of the pick lists in a folder of its own."""
+    spark = d.tables["xt_lista_di_prelievo"].sparkSession
+    return published.create_list_store(spark, work_dir(spark, "lists"), d.tables, buckets=16)
+
+
+def _deleted_in_store(d: Domain) -> DataFrame:
+    store = _list_store(d)
+    version, rejected = published.delete_lists(store, d.raw["list_deletes"])
+    none = F.lit(None).cast("bigint").alias("idnesting")
+    return (
+        store.read(published.HEADERS, version).select(F.lit("header").alias("result"), F.col("id").alias("list_id"), none)
+        .unionByName(store.read(published.ROWS, version).select(
+            F.lit("row").alias("result"), F.col("idlista").alias("list_id"), "idnesting"))
+        .unionByName(rejected.select(F.lit("rejected").alias("result"), "list_id", none)))
+
+
+def _created_in_store(d: Domain) -> DataFrame:
+    """Two batches, entries with an even ``seq`` first."""
+    store, new = _list_store(d), d.raw["new_lists"]
+    even = F.coalesce(F.col("seq") % 2 == 0, F.lit(True))
+    _, first = published.create_lists(store, new.where(even))
+    version, second = published.create_lists(store, new.where(~even))
+    left_out = first.unionByName(second).select(
+        F.col("seq").alias("id"), F.col("created_at").cast("timestamp_ntz").alias("datacreazione"),
+        F.col("operator").alias("operatore"), F.col("state").alias("stato"))
+    return store.read(published.HEADERS, version).select(F.lit("list").alias("result"), "*").unionByName(
+        left_out.select(F.lit("rejected").alias("result"), "*"))
+
+
+def _scan_stream(d: Domain) -> DataFrame:
+    """All scans as a stream of several batches, in the order of their files, then what the store holds."""
+    store, scans = _list_store(d), d.raw["scans"].select("list_id", "ticket", "ts")
+    spark = scans.sparkSession
+    feed = work_dir(spark, "scan_feed")
+    scans.repartitionByRange(3, "ts").write.parquet(feed)
+    stream = spark.readStream.schema(scans.schema).option("maxFilesPerTrigger", 1).parquet(feed)
+    scan_stream_to_store(stream, lambda: d.tables, store, work_dir(spark, "scan_checkpoint"), repeat_within="1 day",
+                         available_now=True).awaitTermination()
+    version = store.latest()
+    return store.read(published.ROWS, version).select(
+        F.lit("row").alias("result"), "idlista", "idnesting", F.lit(None).cast("string").alias("ticket")).unionByName(
+        store.read(published.REJECTED, version).select(
+            F.lit("rejected").alias("result"), F.col("list_id").alias("idlista"),
+            F.lit(None).cast("bigint").alias("idnesting"), "ticket"))
+
+
 def _plan_updates(d: Domain) -> DataFrame:
     plans, rejected = changes.apply_plan_updates(d.tables["a_nes"], d.raw["plan_changes"])
     seq = F.lit(None).cast("bigint").alias("seq")
@@ -186,7 +281,9 @@ QUERIES: dict[str, Query] = {
         "id", F.array_join("rejected_columns", ",").alias("rejected_columns"))),
     "coerce_for_target": _query(_coerce),
     "worklist_csv_lines": _query(lambda d: worklist_csv_lines(worklist.plan_worklist(d.tables))),
-    "diff_tables": _query(_diff),
+    "diff_tables": _query(lambda d: diff_tables(*_compared(d))),
+    "diff_tables_by_key": _query(lambda d: diff_tables_by_key(*_compared(d), ["conum"])),
+    "diff_plan_versions": _query(_plan_versions),
     # worklist and lookup
     "plans_view": _query(lambda d: worklist.plans_view(d.tables)),
     "plan_worklist": _query(lambda d: worklist.plan_worklist(d.tables)),
@@ -212,6 +309,9 @@ QUERIES: dict[str, Query] = {
     "assigned_plans": _query(lambda d: picklists.assigned_plans(d.tables)),
     "assignable_plans": _query(lambda d: picklists.assignable_plans(
         d.tables, d.tables["xt_lista_di_prelievo"].select(F.col("id").alias("list_id")), top=3000)),
+    "plan_worklists": _query(lambda d: worklist.plan_worklists(d.tables, d.raw["searches"])),
+    "assignable_plans_searched": _query(lambda d: picklists.assignable_plans_searched(
+        d.tables, d.raw["list_searches"], top=20)),
     # change sets
     "apply_plan_updates": _query(_plan_updates),
     "set_generic_machine": _query(lambda d: changes.set_generic_machine(
@@ -225,6 +325,9 @@ QUERIES: dict[str, Query] = {
         d.tables["xt_lista_di_prelievo_righe"], d.raw["row_removes"])),
     "delete_lists": _query(_deleted),
     "create_lists": _query(_created),
+    "delete_lists_in_store": _query(_deleted_in_store),
+    "create_lists_in_store": _query(_created_in_store),
+    "scan_stream_to_store": _query(_scan_stream),
     "create_lists_numeric": _query(lambda d: changes.create_lists(d.numeric_headers(), d.raw["new_lists"])),
     "assign_operator_poor_source": _query(lambda d: changes.assign_operator(
         d.poor_tables()["a_nes"], d.raw["operator_changes"]).select("idnes", "x_op_ass")),
@@ -254,6 +357,7 @@ QUERIES: dict[str, Query] = {
     "matched_sheets_strict": _query(lambda d: matching.matched_sheets(
         stage(d.states(), "states"), stage(matching.warehouse(d.tables), "stock"), strict_positions=True)),
     "analyze": _query(_analyze),
+    "analyze_changed": _query(_analyze_changed),
     # verification
     "verify_sheets": _query(lambda d: verify.verify_sheets(d.states(), d.tables)),
     "nonconforming_attributes": _query(lambda d: verify.nonconforming_attributes(d.states(), d.tables)),

@@ -24,7 +24,7 @@ def contains_like(column: Column, search: str, case_sensitive: bool = True) -> C
         if case_sensitive:
             return F.contains(column, F.lit(search))
         return F.contains(F.lower(column), F.lit(search.lower()))
-    return column.rlike(("(?s)" if case_sensitive else "(?is)") + _like_regex(search))
+    return column.rlike(("(?s)" if case_sensitive else "(?isu)") + _like_regex(search))
 
 
 def _like_regex(pattern: str) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platematch.schemas import ALPHA_NAMES, ALPHAS
@@ -66,3 +66,38 @@ def grades_for(demands: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
         .join(known, F.col("_to") == F.col("Code")).drop("_to")
     )
     return itself.unionByName(grouped).unionByName(substitutes).distinct()
+
+
+WORD = 64
+
+
+def grade_masks(demands: DataFrame, tables: dict[str, DataFrame]) -> tuple[DataFrame, Column]:
+    """((qualitycode, comparingmode, mask), known): which grades satisfy a demand, as bits in 64-bit words.
+
+    ``known`` is the whole grade catalogue as one array of (Code, Description) in order of the codes; its places are
+    the bits.  Demands that no grade satisfies have no row.
+    """
+    grades = tables["jdequality"].where(F.col("code").isNotNull()).groupBy(F.col("code").alias("Code")).agg(
+        F.max("description").alias("Description"))
+    listed = grades.agg(F.array_sort(F.collect_list(F.struct("Code", "Description"))).alias("known"))
+    places = listed.select(F.posexplode("known").alias("at", "grade")).select("at", F.col("grade.Code").alias("Code"))
+    known = listed.scalar()
+    found = grades_for(demands, tables).join(places, "Code").select(
+        "qualitycode", "comparingmode", F.floor(F.col("at") / WORD).alias("word"),
+        F.expr(f"shiftleft(1L, at % {WORD})").alias("bit"))
+    words = found.groupBy("qualitycode", "comparingmode", "word").agg(F.bit_or("bit").alias("bits"))
+    by_word = words.groupBy("qualitycode", "comparingmode").agg(
+        F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("_bits"))
+    mask = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("_last")),
+                       lambda w: F.coalesce(F.try_element_at("_bits", w), F.lit(0).cast("bigint")))
+    masks = by_word.withColumn("_last", F.floor((F.size(known) - 1) / WORD)).select(
+        "qualitycode", "comparingmode", mask.alias("mask"))
+    return masks, known
+
+
+def grades_of_mask(known: Column, words: Column) -> Column:
+    """The grades whose bits are set, in order of their codes; ``known`` has to be a column by now."""
+    def is_set(at: Column) -> Column:
+        return F.getbit(F.get(words, F.floor(at / WORD).cast("int")), at % WORD) == 1
+
+    return F.filter(known, lambda grade, at: is_set(at))

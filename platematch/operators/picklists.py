@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platematch.functions.ranking import newest_first_rank
+from platematch.functions.search import search_rows
 from platematch.functions.skew import grid_join, left_lookup
 from platematch.functions.text import contains_like, joined
 from platematch.plans.worklist import is_assignable, machine_names, plan_repetitions
@@ -120,10 +121,7 @@ def assignable_plans(tables: Tables, lists: DataFrame, top: int, search: str | N
     those, block by block, and the work follows the size of the result and of
     the lists instead of lists times plans.
     """
-    plans = tables["a_nes"].where(is_assignable() & (F.col("idnes") > 0)).select(
-        "idnes", "olcod", "nscod", "macod", "dtexp", "nsnot")
-    plans = left_lookup(plans, machine_names(tables), {"macod": "macod"}, "idnes")
-    plans = plans.join(plan_material(tables), "idnes", "left")
+    plans = _assignable(tables)
     text = (search or "").strip()
     if text:
         hit = F.lit(False)
@@ -148,7 +146,47 @@ def assignable_plans(tables: Tables, lists: DataFrame, top: int, search: str | N
     free = met.join(rows, ["list_id", "idnes"], "left_anti")
     newest = Window.partitionBy("list_id").orderBy(F.col("idnes").desc())
     kept = free.withColumn("_rn", F.row_number().over(newest)).where(F.col("_rn") <= top)
-    return kept.select("list_id", "idnes").join(plans, "idnes").select(
-        "list_id", "idnes", F.coalesce("olcod", F.lit("")).alias("Bolla"), F.coalesce("nscod", F.lit("")).alias("NSCOD"),
+    return kept.select("list_id", "idnes").join(plans, "idnes").select("list_id", *_shown_plan())
+
+
+def _assignable(tables: Tables) -> DataFrame:
+    plans = tables["a_nes"].where(is_assignable() & (F.col("idnes") > 0)).select(
+        "idnes", "olcod", "nscod", "macod", "dtexp", "nsnot")
+    plans = left_lookup(plans, machine_names(tables), {"macod": "macod"}, "idnes")
+    return plans.join(plan_material(tables), "idnes", "left")
+
+
+def _shown_plan() -> list[Column | str]:
+    return [
+        "idnes", F.coalesce("olcod", F.lit("")).alias("Bolla"), F.coalesce("nscod", F.lit("")).alias("NSCOD"),
         F.coalesce(F.trim("madsc"), F.lit("")).alias("Macchina"), F.coalesce("material", F.lit("")).alias("Materiale"),
-        F.col("dtexp").alias("DataPrevista"), F.col("nsnot").alias("Note"))
+        F.col("dtexp").alias("DataPrevista"), F.col("nsnot").alias("Note")]
+
+
+def assignable_plans_searched(tables: Tables, asks: DataFrame, top: int, case_sensitive: bool = True) -> DataFrame:
+    """Per row of ``asks`` (list_id, search) the newest ``top`` assignable plans hit that are not on the list.
+
+    As :func:`assignable_plans` for each of them, with equal searches looked for once.  A list with ``k`` of a
+    search's hits on it finds its result among the search's newest ``top + k``, so only those meet the list, and no
+    search carries more of its hits along than the deepest list needs.
+    """
+    plans = stage(_assignable(tables), "assignable")
+    wanted = stage(asks.where(F.col("list_id").isNotNull()).select(
+        "list_id", F.coalesce("search", F.lit("")).alias("search")).distinct(), "asks")
+    hits = stage(search_rows(plans, "idnes", ["olcod", "nscod", "material"], wanted, case_sensitive), "hits")
+    rows = tables["xt_lista_di_prelievo_righe"].select(
+        F.col("idlista").alias("list_id"), F.col("idnesting").alias("idnes")).distinct()
+    on_list = grid_join(wanted, rows, ["list_id"], ["search"], ["idnes"])
+    taken = on_list.join(hits, ["search", "idnes"], "left_semi").groupBy("list_id", "search").agg(
+        F.count(F.lit(1)).alias("n_taken"))
+    reach = stage(wanted.join(taken, ["list_id", "search"], "left").withColumn(
+        "reach", F.coalesce("n_taken", F.lit(0)) + top), "reach")
+    deepest = reach.agg(F.max("reach")).first()[0] or 0
+    newest = Window.partitionBy("search").orderBy(F.col("idnes").desc())
+    ranked = stage(hits.withColumn("rank", F.row_number().over(newest)).where(F.col("rank") <= deepest), "ranked_hits")
+    met = grid_join(reach, ranked, ["search"], ["list_id"], ["idnes"], F.col("rank") <= F.col("reach")).select(
+        "list_id", "search", "idnes")
+    free = met.join(rows, ["list_id", "idnes"], "left_anti")
+    first = Window.partitionBy("list_id", "search").orderBy(F.col("idnes").desc())
+    kept = free.withColumn("_rn", F.row_number().over(first)).where(F.col("_rn") <= top).drop("_rn")
+    return kept.join(plans, "idnes").select("list_id", "search", *_shown_plan())

@@ -219,19 +219,20 @@ def subject_requirements(sets: DataFrame, tables: Tables) -> DataFrame:
 def admitted_by_demands(df: DataFrame, tables: Tables) -> DataFrame:
     """(demands, admitted): grades accepted by every (grade, mode) of a distinct set of demands.
 
-    Relational division, run once per distinct set: a grade is admitted when the
-    number of demands it satisfies equals the size of the set.
+    Relational division, run once per distinct set.  A demand is the bitmap of the grades that satisfy it, over the
+    grade catalogue in order of its codes; what a set admits is the bitwise AND of its demands.
     """
     sets = df.where(F.size("demands") > 0).select("demands").distinct()
     each = sets.select("demands", F.explode("demands").alias("d")).select("demands", "d.*")
-    found = cat.grades_for(each, tables)
-    return (
-        each.join(found, ["qualitycode", "comparingmode"])
-        .groupBy("demands", "Code")
-        .agg(F.count_distinct("qualitycode", "comparingmode").alias("n"), F.max("Description").alias("Description"))
-        .where(F.col("n") == F.size("demands"))
-        .groupBy("demands").agg(F.sort_array(F.collect_list(F.struct("Code", "Description"))).alias("admitted"))
-    )
+    masks, known = cat.grade_masks(each, tables)
+    both = F.aggregate(F.slice("masks", 2, F.size("masks")), F.element_at("masks", 1),
+                       lambda all_, one: F.zip_with(all_, one, lambda x, y: x.bitwiseAND(y)))
+    # A demand that no grade satisfies has no mask, so its set has fewer masks than demands.
+    divided = each.join(masks, ["qualitycode", "comparingmode"]).groupBy("demands").agg(
+        F.collect_list("mask").alias("masks")).where(F.size("masks") == F.size("demands")).select(
+        "demands", both.alias("words")).withColumn("known", known)
+    admitted = cat.grades_of_mask(F.col("known"), F.col("words"))
+    return divided.select("demands", admitted.alias("admitted")).where(F.size("admitted") > 0)
 
 
 def required_by_codes(df: DataFrame, tables: Tables) -> DataFrame:

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platematch.functions.skew import left_lookup
+from platematch.functions.search import search_rows
+from platematch.functions.skew import grid_join, left_lookup
 from platematch.functions.text import clean_parameter, contains_like, joined
 from platematch.schemas import has_column
+from platematch.session import stage
 from platematch.sources.erp import parse_hours
 
 Tables = dict[str, DataFrame]
@@ -92,11 +94,36 @@ def plan_worklist(tables: Tables, search: str | None = None, only_mine: bool = F
     if only_mine and has_column(tables["a_nes"], "x_op_ass"):
         rows = rows.where(F.coalesce("x_op_ass", F.lit("")) == F.lit((operator or "").strip()))
     rows = rows.join(plan_sheet_codes(tables, rows.select("idnes") if filtered else None), "idnes", "left")
-    return rows.select(
+    return rows.select(*_worklist_columns())
+
+
+def _worklist_columns() -> list[Column]:
+    return [
         F.col("idnes").alias("IdNes"), F.col("_ticket").alias("Bolla"),
         F.coalesce("nsdsc", F.lit("")).alias("NsDsc"), F.coalesce("madsc", F.lit("")).alias("MaDsc"),
         F.col("dtexp").alias("DtExp"), F.col("nsnot").alias("NsNot"), F.col("tempo").alias("Tempo"),
-        F.col("ripet").alias("Ripet"), F.col("sheet_codes").alias("Placche"))
+        F.col("ripet").alias("Ripet"), F.col("sheet_codes").alias("Placche")]
+
+
+def plan_worklists(tables: Tables, searches: DataFrame, case_sensitive: bool = True) -> DataFrame:
+    """The worklist of every row of ``searches`` (search_id, search, operator): (search_id, worklist columns).
+
+    As :func:`plan_worklist` for each of them: a blank search shows all plans, an operator (null: any) only theirs,
+    where the source knows operators.  Equal searches are looked for once, and what a plan shows is worked out once
+    however many searches hit it.
+    """
+    plans = stage(plans_view(tables).withColumn("_ticket", F.trim(F.coalesce("olcod", F.lit("")))), "worklist_plans")
+    asked = stage(searches.select("search_id", F.coalesce("search", F.lit("")).alias("search"), "operator"), "asked")
+    hits = search_rows(plans, "idnes", ["nsdsc", "madsc", "_ticket"], asked, case_sensitive)
+    pairs = grid_join(asked, hits, ["search"], ["search_id"], ["idnes"]).select("search_id", "operator", "idnes")
+    if has_column(tables["a_nes"], "x_op_ass"):
+        owners = plans.select("idnes", F.coalesce("x_op_ass", F.lit("")).alias("_owner"))
+        pairs = pairs.join(owners, "idnes").where(
+            F.col("operator").isNull() | (F.col("_owner") == F.coalesce(clean_parameter(F.col("operator")), F.lit(""))))
+    pairs = stage(pairs.select("search_id", "idnes"), "search_pairs")
+    shown = plans.join(pairs.select("idnes").distinct(), "idnes", "left_semi")
+    shown = shown.join(plan_sheet_codes(tables, shown.select("idnes")), "idnes", "left")
+    return pairs.join(shown, "idnes").select("search_id", *_worklist_columns())
 
 
 def lookup_plans(tables: Tables, keys: DataFrame, limit_per_key: int | None = None) -> DataFrame:
