@@ -109,20 +109,37 @@ def _salt(copies: Column) -> Column:
     return F.pmod(F.xxhash64("t"), copies.cast("bigint")).cast("int")
 
 
+def _edges_ahead(edges: DataFrame) -> DataFrame:
+    """Edges an edit may take, once for each letter ``ahead`` that may follow their first one.
+
+    That is the label's second letter, or after a label of one letter the first ones of the child's edges.
+    """
+    taken = edges.where(F.col("first") != END)
+    long = taken.where(F.col("size") > 1).withColumn("ahead", F.expr("substr(label, 2, 1)"))
+    after = edges.where(F.col("salt") == 0).select(F.col("parent").alias("_node"), F.col("first").alias("ahead")).distinct()
+    short = taken.where(F.col("size") == 1).join(after, F.col("child") == F.col("_node")).drop("_node")
+    return long.unionByName(short)
+
+
 def _first_edits(paths: DataFrame, edges: DataFrame) -> DataFrame:
-    """States after the one edit: (side, t, n, position, node, copies, edits, near, near_n)."""
+    """States after the one edit: (side, t, n, position, node, copies, edits, near, near_n).
+
+    What an edit continues with is known, so a state meets only edges that this letter may follow.
+    """
     t, i, letters = F.col("t"), F.col("position"), F.length("t") - 1
     own = paths.select("side", "t", "n", F.explode("stops").alias("_stop")).select(
         "side", "t", "n", F.col("_stop.depth").alias("position"), F.col("_stop.node").alias("node"),
         _salt(F.col("_stop.copies")).alias("_salt"))
-    rest = F.expr("substr(label, 2)")
-    replaced = ((i >= F.floor(letters / 2)) & (i < letters) & (F.col("first") > _letter(t, i))
-                & (rest == t.substr(i + 2, F.col("size") - 1)))
-    added = ((i >= F.floor((letters + 1) / 2)) & (F.col("first") != END) & (F.col("first") != _letter(t, i))
-             & (rest == t.substr(i + 1, F.col("size") - 1)))
-    met = own.join(edges, (F.col("node") == F.col("parent")) & (F.col("_salt") == F.col("salt")) & (replaced | added))
-    ends = F.array_compact(F.array(F.when(replaced, i + F.col("size")), F.when(added, i + F.col("size") - 1)))
-    return met.select("side", "t", "n", F.explode(ends).alias("position"), F.col("child").alias("node"),
+    # A letter is replaced, and the word goes on behind it; or one is added, and it goes on where it was.
+    replaced = F.when((i >= F.floor(letters / 2)) & (i < letters), F.struct(F.lit(1).alias("uses"), _letter(t, i + 1).alias("next")))
+    added = F.when(i >= F.floor((letters + 1) / 2), F.struct(F.lit(0).alias("uses"), _letter(t, i).alias("next")))
+    edits = own.select("*", _letter(t, i).alias("_own"), F.inline(F.array_compact(F.array(replaced, added))))
+    uses, first, size = F.col("uses"), F.col("first"), F.col("size")
+    other = F.when(uses == 1, first > F.col("_own")).otherwise(first != F.col("_own"))
+    rest = (size <= 2) | (F.expr("substr(label, 3)") == t.substr(i + uses + 2, size - 2))
+    met = edits.join(_edges_ahead(edges), (F.col("node") == F.col("parent")) & (F.col("_salt") == F.col("salt"))
+                     & (F.col("next") == F.col("ahead")) & other & rest)
+    return met.select("side", "t", "n", (i + uses + size - 1).alias("position"), F.col("child").alias("node"),
                       F.col("child_copies").alias("copies"), F.lit(1).alias("edits"), "near", "near_n")
 
 
