@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platematch.llm.batches import slices
-from platematch.llm.packing import document_ids, token_pieces
+from platematch.llm.tokens import id_pieces, known, text_ids
 from platematch.session import stage
 
 PLACED = ("doc_id long, piece int, start long, length long, ids_crc32 long, doc_tokens long, "
@@ -162,7 +162,7 @@ def place(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 def best_fit(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1,
              id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Placed pieces of all documents."""
-    pieces = token_pieces(documents, tokenizer_path, capacity, end_id, id_col=id_col, text_col=text_col)
+    pieces = id_pieces(documents, tokenizer_path, capacity, end_id, id_col, text_col)
     return place(stage(pieces, "best_fit_pieces"), capacity)
 
 
@@ -172,9 +172,10 @@ def packed_ids(documents: DataFrame, placed: DataFrame, tokenizer_path: str, cap
 
     def cut(batches):
         for batch in slices(batches, "text"):
-            rows = [(doc_id, start, ids[start:start + capacity].astype(np.int32))
-                    for doc_id, ids in zip(batch.column(0).to_pylist(), document_ids(batch, tokenizer_path, end_id))
-                    for start in range(0, len(ids), capacity)]
+            flat, sizes = text_ids(known(tokenizer_path), batch.column(1), end_id)
+            rows = [(doc_id, start, flat[last - size + start:min(last, last - size + start + capacity)].astype(np.int32))
+                    for doc_id, last, size in zip(batch.column(0).to_pylist(), np.cumsum(sizes), sizes)
+                    for start in range(0, size, capacity)]
             yield pa.RecordBatch.from_pandas(
                 pd.DataFrame(rows, columns=["doc_id", "start", "ids"]), preserve_index=False,
                 schema=pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("ids", pa.list_(pa.int32()))]))

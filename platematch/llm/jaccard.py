@@ -18,8 +18,8 @@ Shingles and classes are named by 64-bit hashes.
 
 Defined cases: a null, empty or blank text has an empty set, links with nothing
 and is its own component; a text of fewer than ``size`` words is one shingle;
-repeated rows are one class; rows without an id take part and get the component
-of their class.  Other columns of the input are ignored.
+repeated rows are one class; rows without an id take part, also as the only link
+between others, and get the component of their class; ids are whole numbers.  Other columns of the input are ignored.
 """
 
 from __future__ import annotations
@@ -79,7 +79,7 @@ def prefix_length(n, percent: int):
 
 
 def described(documents: DataFrame, size: int, percent: int) -> DataFrame:
-    """(doc_id, n, class, small, region, more) per row of (doc_id, text).
+    """(doc_id, doc_key, n, class, small, region, more) per row of (doc_id, doc_key, text).
 
     ``small`` holds all tokens of a set of at most SMALL.  For sets that may link
     to larger ones, ``region`` holds the tokens of the counted region, and where
@@ -92,7 +92,7 @@ def described(documents: DataFrame, size: int, percent: int) -> DataFrame:
         lists = pa.list_(pa.int64())
         for part in slices(batches, "text"):
             rows = []
-            for tokens in shingle_sets(part.column(1), size):
+            for tokens in shingle_sets(part.column("text"), size):
                 n = len(tokens)
                 low = int(np.searchsorted(tokens, limit)) if 100 * n >= percent * SMALL else 0
                 short = 100 * n >= percent * SMALL and low < prefix_length(n, percent)
@@ -101,12 +101,12 @@ def described(documents: DataFrame, size: int, percent: int) -> DataFrame:
                              tokens[low:] if short else tokens[:0]))
             columns = list(zip(*rows)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [part.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(
+                [part.column("doc_id"), part.column("doc_key"), *(pa.array(c, t) for c, t in zip(
                     columns, (pa.int64(), pa.int64(), lists, lists, lists)))],
-                ["doc_id", "n", "class", "small", "region", "more"])
+                ["doc_id", "doc_key", "n", "class", "small", "region", "more"])
 
-    return documents.mapInArrow(describe, "doc_id long, n long, class long, small array<long>, region array<long>, "
-                                          "more array<long>")
+    return documents.mapInArrow(describe, "doc_id long, doc_key long, n long, class long, small array<long>, "
+                                          "region array<long>, more array<long>")
 
 
 def prefix_postings(described_docs: DataFrame, percent: int) -> DataFrame:
@@ -154,44 +154,44 @@ def _bytes_to_set(data: bytes) -> np.ndarray:
 
 
 def sets_of(documents: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(item, data): the whole sets of the classes ``wanted`` (item, doc_id), from the texts again.
+    """(item, data): the whole sets of the classes ``wanted`` (item, doc_key), from the texts again.
 
-    A fixed-size filter on the ids lets only those documents (and a few others) be shingled.
+    A fixed-size filter on the keys lets only those documents (and a few others) be shingled.
     """
-    passes = number_filter(wanted, "doc_id")
+    passes = number_filter(wanted, "doc_key")
 
     def shingle(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            ids = pc.fill_null(batch.column(0), 0).to_numpy(zero_copy_only=False)
-            chosen = batch.filter(pa.array(passes[bit_of(ids)]))
+            keys = batch.column("doc_key").to_numpy(zero_copy_only=False)
+            chosen = batch.filter(pa.array(passes[bit_of(keys)]))
             for part in slices(iter([chosen]), "text"):
-                data = [s.tobytes() for s in shingle_sets(part.column(1), size)]
+                data = [s.tobytes() for s in shingle_sets(part.column("text"), size)]
                 names = [np.uint64(xxhash.xxh3_64_intdigest(d)).view(np.int64) for d in data]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(names, pa.int64()), pa.array(data, pa.binary())],
-                    ["doc_id", "item", "data"])
+                    [part.column("doc_key"), pa.array(names, pa.int64()), pa.array(data, pa.binary())],
+                    ["doc_key", "item", "data"])
 
-    got = documents.select(F.col("doc_id").cast("long"), "text").where(F.col("doc_id").isNotNull()).mapInArrow(
-        shingle, "doc_id long, item long, data binary")
-    return got.join(wanted, ["doc_id", "item"], "left_semi").dropDuplicates(["item"]).select("item", "data")
+    got = documents.select("doc_key", "text").mapInArrow(shingle, "doc_key long, item long, data binary")
+    return got.join(wanted, ["doc_key", "item"], "left_semi").dropDuplicates(["item"]).select("item", "data")
 
 
 def jaccard_components(documents: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row; the component is named by its smallest doc_id."""
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn(
+        "doc_key", F.xxhash64("doc_id", "text"))  # a row is found again by it, with an id or without
     return distilled("components", lambda: _components(docs, size, percent))
 
 
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     known = stage(described(docs, size, percent), "described")
     classes = stage(known.where(F.col("class").isNotNull()).groupBy(F.col("class").alias("item")).agg(
-        F.min("doc_id").alias("doc_id")), "classes")
+        F.min("doc_id").alias("doc_id"), F.min("doc_key").alias("doc_key")), "classes")
     postings = stage(prefix_postings(known, percent), "postings")
     keys = postings.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last")).where(
         F.col("_first") != F.col("_last")).select("key")
     postings = stage(postings.join(keys, "key", "left_semi"), "postings")
-    wanted = postings.select("item").distinct().join(classes.where(F.col("doc_id").isNotNull()), "item")
+    wanted = postings.select("item").distinct().join(classes.select("item", "doc_key"), "item")
     sets = stage(sets_of(docs, stage(wanted, "wanted"), size), "sets")
     roots = classes_by_links(postings, sets, _bytes_to_set, percent)
     rooted = stage(classes.join(roots.withColumnRenamed("node", "item"), "item", "left").select(

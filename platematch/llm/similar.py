@@ -178,7 +178,7 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
         held = {key: rows["item"].to_numpy() for key, rows in members.groupby(cell)}
         found = []
         for key, rows in queries.groupby(cell):
-            mine, askers = held[key], rows["item"].to_numpy()
+            mine, askers = held.get(key, ()), rows["item"].to_numpy()
             found += [(askers[q], mine[m]) for q, m in open_group(
                 [sets[i] for i in mine], [sets[i] for i in askers], percent)]
         return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
