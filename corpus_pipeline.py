@@ -19,6 +19,13 @@ from platematch.session import stage, workers_import
 MIN_LANGUAGE_SCORE, JUDGED_LETTERS = 0.13, 40
 
 
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that the documents do not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _same_columns(kept: DataFrame, docs: DataFrame) -> DataFrame:
     return kept.select(*[F.col(c) for c in docs.columns])
 
@@ -30,17 +37,19 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     different words have letters enough to tell; shorter ones stay.
     """
     workers_import(spark)
-    told = langid.identify(docs, langid.prototypes(docs), lang_out="_lang_told", score_out="_lang_score")
+    lang, score = _free(docs, "_lang_told"), _free(docs, "_lang_score")
+    told = langid.identify(docs, langid.prototypes(docs), lang_out=lang, score_out=score)
     letters = F.length(F.array_join(F.array_distinct(F.split(F.lower("text"), r"\P{L}+")), ""))
-    near = (F.col("_lang_score") >= MIN_LANGUAGE_SCORE) | (letters < JUDGED_LETTERS)
-    return _same_columns(told.where((F.col("_lang_told") != "und") & near), docs)
+    near = (F.col(score) >= MIN_LANGUAGE_SCORE) | (letters < JUDGED_LETTERS)
+    return _same_columns(told.where((F.col(lang) != "und") & near), docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without lines seen before; documents that lose their whole text go."""
     workers_import(spark)
-    done = lines.dedup_lines(docs, lines_out="_lines", removed_out="_gone")
-    left = done.where((F.col("_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    gone = _free(docs, "_gone")
+    done = lines.dedup_lines(docs, lines_out=_free(docs, "_lines"), removed_out=gone)
+    left = done.where((F.col(gone) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return _same_columns(left.withColumn("n_chars", F.length("text").cast("long")), docs)
 
 

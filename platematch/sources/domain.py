@@ -92,6 +92,31 @@ def write_domain(tables: Mapping[str, DataFrame], folder: str, mode: str = "erro
         df.write.mode(mode).parquet(f"{folder}/{name}")
 
 
+# Keys by which the large tables are joined most; tables of one key list meet bucket by bucket.
+LAYOUT: dict[str, tuple[str, ...]] = {
+    "a_lot": ("conum", "locod"), "l_cmpa": ("conum", "locod"), "a_lav": ("conum", "locod", "idfas"),
+    "l_pcpa": ("conum", "locod", "idfas"), "a_com": ("conum",), "a_nes": ("idnes",), "l_nelm": ("idnes",), "l_pcfo": ("idptc",),
+    "xt_lista_di_prelievo_righe": ("idnesting",), "s_crn": ("idcrn",), "l_mlpr": ("idcrn",), "s_dmp": ("iddmp",),
+}
+
+
+def write_bucketed(tables: Mapping[str, DataFrame], folder: str, buckets: int = 200, schema: str | None = None,
+                   mode: str = "errorifexists") -> None:
+    """Cleaned tables as catalog tables over ``folder``, the large ones bucketed and sorted by ``LAYOUT``.
+
+    Read them with ``load_domain(spark, catalog_source(schema), cleaned=True)``.  Joins of two such tables, or of one
+    with a few rows, then shuffle no large side.  A key that holds a large share of a table fills one bucket, and a
+    bucketed scan is not split at run time: for such data set ``spark.sql.sources.bucketing.enabled`` to false, and
+    the joins are dealt and split as over any other files.  ``buckets`` should keep a bucket within a task's memory.
+    """
+    for name, df in tables.items():
+        keys = LAYOUT.get(name)
+        writer = df.write.mode(mode).format("parquet").option("path", f"{folder}/{name}")
+        if keys:
+            writer = writer.bucketBy(buckets, *keys).sortBy(*keys)
+        writer.saveAsTable(f"{schema}.{name}" if schema else name)
+
+
 def _as_source(source: str | Source | Mapping[str, DataFrame]) -> Source:
     if isinstance(source, str):
         return parquet_source(source)

@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import functions as F
 
+from platematch.functions import diff_tables
 from platematch.plans import worklist
 from platematch.schemas import TABLES
 from platematch.sources import (catalog_source, clean_erp_columns, count_rejects, load_domain, order_result, shown_hours,
@@ -80,3 +81,38 @@ def test_tables_of_the_catalog(spark):
     got = load_domain(spark, catalog_source(), ["a_mac", "x_ghost"])
     assert got["a_mac"].first().macod == "M1" and got["x_ghost"].isEmpty()
     spark.catalog.dropTempView("a_mac")
+
+
+def test_bucketed_tables_join_without_moving_the_large_side(spark, shop, tmp_path):
+    from platematch.operators import picklists, requirements
+    from platematch.sources import catalog_source, write_bucketed
+
+    spark.sql("CREATE DATABASE IF NOT EXISTS plates_by_key")
+    write_bucketed(shop, str(tmp_path / "tables"), buckets=4, schema="plates_by_key", mode="overwrite")
+    stored = load_domain(spark, catalog_source("plates_by_key"), cleaned=True)
+    jobs = spark.createDataFrame([(1, 1), (1, 2), (2, 3)], "request_id bigint, idlav bigint")
+    assert diff_tables(requirements.jobs_to_parts(jobs, stored), requirements.jobs_to_parts(jobs, shop)).isEmpty()
+    assert diff_tables(picklists.plan_customers(stored), picklists.plan_customers(shop)).isEmpty()
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        plan = requirements.jobs_to_parts(jobs, stored)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+        spark.sql("DROP DATABASE plates_by_key CASCADE")
+    lines = plan.splitlines()
+    for table in ("a_lot", "l_cmpa"):
+        at = next(k for k, line in enumerate(lines) if "FileScan" in line and f"plates_by_key.{table}[" in line)
+        depth, above = lines[at].index("FileScan"), []
+        for line in reversed(lines[:at]):  # what stands above the scan, up to its join
+            start = next(k for k, c in enumerate(line) if c.isalnum() or c == "*")
+            if start < depth:
+                depth = start
+                above.append(line)
+                if "Join" in line:
+                    break
+        assert "Join" in above[-1] and not any("Exchange" in line for line in above), above
+        assert "SelectedBucketsCount: 4 out of 4" in lines[at]
