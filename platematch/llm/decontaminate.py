@@ -9,9 +9,12 @@ in a plain form: lower case, runs of anything but letters and digits one blank.
 The documents are never shuffled; the test set is read in blocks of a stated
 size, each block is one pass over the documents, so it may be of any size.
 
-Defined cases: null and empty texts contain nothing and match nothing; items
-with fewer than ``min_chars`` characters in plain form say too little to prove a
-leak and are left out, as are null items; equal items are reported each;
+Items with fewer than ``min_chars`` characters in plain form have no budget: they
+are found where they stand unchanged between word limits.  A limit is a blank, an
+end, or a letter of a script that sets none between words.
+
+Defined cases: null and empty texts contain nothing and match nothing, as do items
+without a letter or digit; equal items are reported each;
 documents given twice are reported twice; empty tables give no rows.
 """
 
@@ -38,6 +41,21 @@ def budget_of(length: int, max_error_pct: int) -> int:
     return length * max_error_pct // 100
 
 
+def _unspaced(c: str) -> bool:
+    """Whether the letter belongs to the scripts from CJK radicals on, which are written without blanks."""
+    return c >= "\u2e80"
+
+
+def stands_alone(item: str, text: str, begin: int) -> bool:
+    """Whether ``item`` at ``begin`` of the plain ``text`` begins and ends at word limits."""
+    end = begin + len(item)
+
+    def limit(inner: str, outer: str) -> bool:
+        return outer in ("", " ") or _unspaced(inner) or _unspaced(outer)
+
+    return limit(item[0], text[max(0, begin - 1):begin]) and limit(item[-1], text[end:end + 1])
+
+
 def pieces_of(item: str, budget: int) -> list[tuple[int, str]]:
     """The item cut into budget + 1 pieces of nearly equal length, with their places."""
     cuts = [len(item) * k // (budget + 1) for k in range(budget + 2)]
@@ -74,11 +92,13 @@ def myers(item: str, text: str, most: int) -> tuple[int, int] | None:
 class _Search:
     """The pieces of a block of items, and the comparison around each hit."""
 
-    def __init__(self, items: list[tuple[int, str]], max_error_pct: int):
+    def __init__(self, items: list[tuple[int, str]], max_error_pct: int, min_chars: int):
         import ahocorasick
 
         places: dict[str, list[tuple[int, int]]] = {}
-        self.items = [(item_id, text, budget_of(len(text), max_error_pct)) for item_id, text in items]
+        self.min_chars = min_chars
+        self.items = [(item_id, text, budget_of(len(text), max_error_pct) if len(text) >= min_chars else 0)
+                      for item_id, text in items]
         for n, (_, text, budget) in enumerate(self.items):
             for start, piece in pieces_of(text, budget):
                 places.setdefault(piece, []).append((n, start))
@@ -94,6 +114,8 @@ class _Search:
             for n, start in where:
                 _, item, budget = self.items[n]
                 begin = last + 1 - size - start
+                if len(item) < self.min_chars and not stands_alone(item, text, begin):
+                    continue
                 first, end = max(0, begin - budget), min(len(text), begin + len(item) + budget)
                 mine = windows.setdefault(n, [])
                 if mine and first <= mine[-1][1] and end >= mine[-1][0]:
@@ -114,12 +136,12 @@ class _Search:
                 yield item_id, budget, distance, end - back[1], end
 
 
-def _blocks(benchmark: DataFrame, min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
     """Items in plain form, in blocks of at most ``BLOCK_CHARS`` characters (or one item)."""
     block, size = [], 0
     for row in benchmark.toLocalIterator():
         text = plain(row["text"])
-        if len(text) < min_chars:
+        if not text:
             continue
         if block and size + len(text) > BLOCK_CHARS:
             yield block
@@ -147,7 +169,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, max_error_pct: int
         def run(batches):
             find = None
             for part in slices(batches, "text"):
-                find = find or _Search(block, max_error_pct)
+                find = find or _Search(block, max_error_pct, min_chars)
                 ids, rows = [], []
                 for d, text in enumerate(part.column("text").to_pylist()):
                     for match in find.matches(plain(text)):
@@ -163,7 +185,7 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, max_error_pct: int
         return docs.mapInArrow(run, schema)
 
     found = None
-    for block in _blocks(items, min_chars):
+    for block in _blocks(items):
         found = search(block) if found is None else found.unionByName(search(block))
     return docs.sparkSession.createDataFrame([], schema) if found is None else found
 
@@ -175,13 +197,13 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, max_error_pct: int
 
     def drop(block):
         def run(batches):
-            find = _Search(block, max_error_pct)
+            find = _Search(block, max_error_pct, min_chars)
             for batch in batches:
                 clean = [not any(find.matches(plain(text))) for text in batch.column(text_col).to_pylist()]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
         return run
 
-    for block in _blocks(items, min_chars):
+    for block in _blocks(items):
         documents = documents.mapInArrow(drop(block), documents.schema)
     return documents

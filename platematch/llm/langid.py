@@ -163,8 +163,9 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], seed: in
              lang_out: str = "lang_pred", score_out: str = "score") -> DataFrame:
     """``documents`` with the predicted language and its score; looks at the text alone.
 
-    The two new names must not be taken already.
+    Columns that have the two new names already are replaced.
     """
+    documents = documents.drop(lang_out, score_out)
     langs, table = model
     dimensions = table.shape[1]
     lengths = np.linalg.norm(table, axis=1, keepdims=True)
@@ -198,11 +199,14 @@ def identify(documents: DataFrame, model: tuple[list[str], np.ndarray], seed: in
 
     # Null texts stay null in the output; only the prediction reads them as empty.
     text = F.col(text_col)
-    given = documents.withColumn(f"{lang_out}_null", text.isNull())
+    was_null = lang_out + "_null"
+    while was_null in documents.columns:
+        was_null += "_"
+    given = documents.withColumn(was_null, text.isNull())
     schema = T.StructType([*given.schema.fields, T.StructField(lang_out, T.StringType()),
                            T.StructField(score_out, T.DoubleType())])
     return given.mapInArrow(predict, schema).withColumn(
-        text_col, F.when(~F.col(f"{lang_out}_null"), text)).drop(f"{lang_out}_null")
+        text_col, F.when(~F.col(was_null), text)).drop(was_null)
 
 
 def held_out(doc_id) -> F.Column:

@@ -186,8 +186,9 @@ def dedup_lines(documents: DataFrame, percent: int = 80, id_col: str = "doc_id",
                 lines_out: str = "n_lines", removed_out: str = "n_removed") -> DataFrame:
     """``documents`` with duplicate lines taken out of the text, and how many lines it had and lost.
 
-    The two new names must not be taken already.
+    Columns that have the two new names already are replaced.
     """
+    documents = documents.drop(lines_out, removed_out)
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select(
         "doc_id", _doc_key().alias("doc_key"), "text")
     gone = distilled("duplicates", lambda: duplicate_lines(docs, percent)).groupBy("doc_key").agg(F.collect_set("line_no").alias("gone_"))

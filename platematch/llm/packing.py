@@ -16,100 +16,23 @@ interchangeable; an empty table gives no pieces.  Other columns are ignored.
 
 from __future__ import annotations
 
-import os
-import zlib
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platematch.llm.batches import gather, slices, split_words
+from platematch.llm.batches import slices
+from platematch.llm.tokens import PIECE, id_pieces, known, text_ids
 from platematch.session import stage
 
-PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
-CACHED_WORDS = 1_000_000
 BUCKET_ROWS = 50_000
-_tokenizers: dict = {}
-
-
-class _WordTokenizer:
-    """Encodes by distinct word; right for tokenizers that drop white space and never merge across it.
-
-    Words met before are looked up: ``known`` says where their ids start in ``ids``.
-    """
-
-    def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _learn(self, words: list[str]) -> None:
-        sizes, ids = np.zeros(len(words), np.int64), [self.ids]
-        for first in range(0, len(words), 10_000):
-            part = words[first:first + 10_000]
-            done = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
-            ids.append(np.array(done.ids, np.uint32))
-            sizes[first:first + len(part)] = np.bincount(np.array(done.word_ids, np.int64), minlength=len(part))
-        self.known.update(zip(words, range(len(self.sizes), len(self.sizes) + len(words))))
-        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
-        self.sizes = np.concatenate([self.sizes, sizes])
-        self.ids = np.concatenate(ids)
-
-    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(all ids in a row, ids per text)."""
-        index, words, counts = split_words(texts)
-        new = [w for w in words if w not in self.known]
-        if len(self.known) + len(new) > CACHED_WORDS:
-            self._forget()
-            new = words
-        if new:
-            self._learn(new)
-        rows = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        per_word = self.sizes[rows][index]
-        total = np.concatenate([[0], np.cumsum(per_word)])
-        ends = np.cumsum(counts)
-        return gather(self.ids, self.starts[rows][index], per_word), total[ends] - total[ends - counts]
-
-
-def _tokenizer(path: str) -> _WordTokenizer:
-    if path not in _tokenizers:
-        _tokenizers[path] = _WordTokenizer(path)
-    return _tokenizers[path]
-
-
-def document_ids(batch: pa.RecordBatch, tokenizer_path: str, end_id: int) -> Iterator[np.ndarray]:
-    """Token ids of each document of a batch, the end id last."""
-    flat, sizes = _tokenizer(tokenizer_path).encode(batch.column(1))
-    ends = np.cumsum(sizes)
-    for first, last in zip(ends - sizes, ends):
-        yield np.append(flat[first:last], np.uint32(end_id)).astype("<u4")
 
 
 def token_pieces(documents: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Documents cut into pieces of at most ``capacity`` tokens, with the checksum of their ids."""
-
-    def cut(batches):
-        for batch in slices(batches, "text"):
-            rows = []
-            for doc_id, ids in zip(batch.column(0).to_pylist(), document_ids(batch, tokenizer_path, end_id)):
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start:start + capacity]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids)))
-            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-
-    return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        cut, PIECE)
+    return id_pieces(documents, tokenizer_path, capacity, end_id, id_col, text_col)
 
 
 def fill(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -220,9 +143,10 @@ def sequences(documents: DataFrame, placed: DataFrame, tokenizer_path: str, capa
 
     def cut(batches):
         for batch in slices(batches, "text"):
-            rows = [(doc_id, start, ids[start:start + capacity].astype(np.int32))
-                    for doc_id, ids in zip(batch.column(0).to_pylist(), document_ids(batch, tokenizer_path, end_id))
-                    for start in range(0, len(ids), capacity)]
+            flat, sizes = text_ids(known(tokenizer_path), batch.column(1), end_id)
+            rows = [(doc_id, start, flat[last - size + start:min(last, last - size + start + capacity)].astype(np.int32))
+                    for doc_id, last, size in zip(batch.column(0).to_pylist(), np.cumsum(sizes), sizes)
+                    for start in range(0, size, capacity)]
             yield pa.RecordBatch.from_pydict({
                 "doc_id": pa.array([r[0] for r in rows], pa.int64()),
                 "start": pa.array([r[1] for r in rows], pa.int64()),

@@ -26,7 +26,7 @@ _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 LETTERS = "".join(filter(re.compile(f"[{_LETTERS}]").match, map(chr, range(256))))
 SLICE_TEXT = 16_000_000
 JOINED = 2_000  # words encoded as one text
-KNOWN = 600_000  # words a worker keeps the ids of, some 100 MB
+KNOWN = 400_000  # words a worker keeps the ids of, some 70 MB
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -146,5 +146,6 @@ def id_pieces(documents: DataFrame, tokenizer_path: str, capacity: int, end_id:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(sums, pa.int64()),
                  pa.array(sizes[doc])], ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        pa.default_memory_pool().release_unused()  # the worker goes on to other tasks
 
     return documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE)

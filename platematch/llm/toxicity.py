@@ -147,8 +147,11 @@ def sample_features(documents: DataFrame) -> DataFrame:
 
 
 def labelled_sample(documents: DataFrame, labels: DataFrame, rows_per_label: int) -> DataFrame:
-    """(toxic, text) of at most ``rows_per_label`` documents of each label, by the hash of their id."""
-    known = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).dropna()
+    """(toxic, text) of at most ``rows_per_label`` documents of each label, by the hash of their id.
+
+    Of several documents with one id the first text in order is taken.
+    """
+    known = labels.select("doc_id", (F.col("toxic") > 0).cast("int").alias("toxic")).dropna().distinct()
     order = F.xxhash64("doc_id")
     sizes = known.groupBy("toxic").count()
     # A cut of the hash range leaves about the rows wanted before anything is ranked.
@@ -157,7 +160,8 @@ def labelled_sample(documents: DataFrame, labels: DataFrame, rows_per_label: int
     rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.pmod(order, F.lit(1 << 30)), "doc_id"))
     chosen = near.withColumn("_rank", rank).where(F.col("_rank") <= rows_per_label).select("doc_id", "toxic")
     # At most 2 x rows_per_label ids: a stated bound.
-    return documents.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id").select("toxic", "text")
+    found = documents.select("doc_id", "text").dropna().join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text")
 
 
 def fit(documents: DataFrame, labels: DataFrame, rows_per_label: int = 4000, cuts: tuple[int, ...] = (16, 40)) -> Ordinal:
