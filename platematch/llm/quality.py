@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLANK = r"[\x20\x09-\x0D]"
+BLANK, WORD = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 # Phrases that mark a line as boilerplate, in lower case.
@@ -55,54 +55,77 @@ def _covered(placed: Column, n: int) -> Column:
     return F.aggregate(spans, F.lit(0), lambda total, x: total + x)
 
 
-def line_fails(line: Column, min_words: int = 4) -> Column:
+def occurrences(text: Column, chars: str) -> Column:
+    """How many characters of the given set a text has."""
+    return F.regexp_count(text, F.lit(chars))
+
+
+def line_fails(line: Column, boilerplate: Column | None = None, min_words: int = 4) -> Column:
     """True where a line with words breaks the punctuation, navigation or boilerplate rule.
 
     Punctuation: a line of at least ``min_words`` words that does not end with a
     sentence mark (quotes and brackets may follow), or with more exclamation and
     question marks than half its words.  Navigation: more menu signs and symbols
-    than a third of the words, at least two.  Boilerplate: a listed phrase.
+    than a third of the words, at least two.  Boilerplate: a listed phrase, which is
+    looked for only where ``boilerplate`` is true (by default, everywhere).
+
+    Words are counted only where marks or signs are there to compare them with.
     """
+    marks, signs = occurrences(line, "[!?]"), occurrences(line, r"[#*$%&|<>»›•·]")
     words = F.size(words_of(line))
-    bare = F.length(line)
-    marks = bare - F.length(F.translate(line, "!?", ""))
-    signs = bare - F.length(F.translate(line, SYMBOLS + "»›•·", ""))
-    unfinished = (words >= min_words) & ~line.rlike("[.!?:;…][\"'”»)\\]]*" + BLANK + "*$")
-    boilerplate = F.lower(line).rlike("|".join(BOILERPLATE))
-    return unfinished | (2 * marks > words) & (marks >= 2) | (3 * signs > words) & (signs >= 2) | boilerplate
+    unfinished = ~line.rlike("[.!?:;…][\"'”»)\\]]*" + BLANK + "*$") & line.rlike(
+        rf"^{BLANK}*(?:{WORD}{BLANK}+){{{min_words - 1}}}[^\x20\x09-\x0D]")
+    listed = _holds_any(F.lower(line), BOILERPLATE)
+    listed = listed if boilerplate is None else boilerplate & listed
+    return unfinished | (marks >= 2) & (2 * marks > words) | (signs >= 2) & (3 * signs > words) | listed
+
+
+def _holds_any(text: Column, phrases: tuple[str, ...]) -> Column:
+    found = F.lit(False)
+    for phrase in phrases:
+        found = found | F.contains(text, F.lit(phrase))
+    return found
 
 
 def clean_lines(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 max_lost_pct: int = 50) -> DataFrame:
-    """(id, text, words, cleaned, chars, kept_chars, verdict) of every document.
+    """(doc_id, text, words, lines, cleaned, chars, verdict) of every document.
 
-    ``cleaned`` is the text without the lines that fail; lines without words stay.
+    ``lines`` are the lines with words.  ``cleaned`` is the text without those that fail; lines without words stay.
     ``verdict`` is false where more than ``max_lost_pct`` percent of the
     characters in words are gone.
     """
-    cleaned = F.array_join(F.filter(F.split("text", "\n"), lambda line: ~line.rlike(r"[^\x20\x09-\x0D]")
-                                    | ~line_fails(line)), "\n")
-    return (
-        documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-        .select("doc_id", "text", words_of(F.col("text")).alias("words"), cleaned.alias("cleaned"),
-                F.length(without_blanks(F.col("text"))).alias("chars"))
-        .withColumn("kept_chars", F.length(without_blanks(F.col("cleaned"))))
-        .withColumn("verdict", 100 * (F.col("chars") - F.col("kept_chars")) <= max_lost_pct * F.col("chars"))
-    )
+    judged = F.transform(F.split("text", "\n"), lambda line: F.struct(
+        line.alias("line"), line.rlike(r"[^\x20\x09-\x0D]").alias("full"))).alias("split")
+    failed = F.transform("split", lambda e: F.struct(
+        e["line"].alias("line"), e["full"].alias("full"),
+        (e["full"] & line_fails(e["line"], F.col("boilerplate"))).alias("fails")))
+
+    def of(which) -> Column:
+        return F.transform(F.filter("judged", which), lambda e: e["line"])
+
+    whole = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).withColumn(
+        "lowered", F.lower("text")).select(
+        "doc_id", "text", words_of(F.col("text")).alias("words"), judged,
+        _holds_any(F.col("lowered"), BOILERPLATE).alias("boilerplate"))
+    lines = whole.select("doc_id", "text", "words", failed.alias("judged"))
+    lost = F.length(without_blanks(F.array_join(of(lambda e: e["fails"]), "")))
+    return lines.select(
+        "doc_id", "text", "words", of(lambda e: e["full"]).alias("lines"),
+        F.array_join(of(lambda e: ~e["fails"]), "\n").alias("cleaned"),
+        F.length(F.array_join("words", "")).alias("chars"), lost.alias("lost")).withColumn(
+        "verdict", 100 * F.col("lost") <= max_lost_pct * F.col("chars")).drop("lost")
 
 
 def quality_rules(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 50,
                   max_repeat_pct: int = 50, max_lost_pct: int = 50) -> DataFrame:
     """Base figures, cleaned text and verdict of every document."""
-    lines = F.filter(F.split("text", "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
     judged = clean_lines(documents, id_col, text_col, max_lost_pct).select(
-        "doc_id", "text", "cleaned", "verdict", "kept_chars", F.size("words").cast("long").alias("n_words"),
-        F.col("chars").cast("long").alias("word_chars"),
-        (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        repeated_window_words("words").cast("long").alias("n_repeat_words"),
-        lines.alias("_lines"))
+        "doc_id", "cleaned", "verdict", F.size("words").cast("long").alias("n_words"),
+        F.col("chars").cast("long").alias("word_chars"), occurrences(F.col("text"), r"[#*$%&|<>]").cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        repeated_window_words("words").cast("long").alias("n_repeat_words"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words"))
     return judged.select(
-        "doc_id", "n_words", "word_chars", "n_symbols",
-        (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("verdict")).alias("kept"), "cleaned")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"),
+        (~failed & F.col("verdict")).alias("kept"), "cleaned")

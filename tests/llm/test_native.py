@@ -20,7 +20,7 @@ SMALL = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_queries_agree_with_sql(spark, name):
     con = duckdb.connect()
-    for table in ("documents", "pages", "benchmark", "labels", "conversations"):
+    for table in ("documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SMALL}/{table}.parquet'")
     ours, theirs = QUERIES[name](spark, SMALL).toPandas(), con.sql(ORACLE[name]).df()
     assert _canonical(ours).equals(_canonical(theirs))
