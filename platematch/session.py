@@ -56,7 +56,8 @@ def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder name in the shared folder; on a single machine without one, in its temporary folder."""
     folder = stage_dir(spark)
     if folder is None:
-        if not spark.sparkContext.master.startswith("local["):
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         folder = tempfile.gettempdir()
     path = f"{folder}/{name}-{uuid.uuid4().hex}"
