@@ -186,13 +186,19 @@ class Store:
     # files
 
     def _write(self, rows: DataFrame, files: TableFiles) -> dict[int, str]:
-        """Writes rows by bucket: bucket -> name of the write.  A bucket with many rows is written by several tasks."""
+        """Writes rows by bucket: bucket -> name of the write.  A bucket with many rows is written by several tasks.
+
+        In a stream's batches, which Spark plans once and for all, nothing is rebalanced: the hint would leave rows of
+        every bucket in every task, and a file of each.  There a bucket is written by one task.
+        """
         name = f"w-{uuid.uuid4().hex}"
         path = f"{self.folder}/data/write={name}"
         schema = T.StructType.fromJson(json.loads(files.schema))
         dealt = rows.select(*[F.col(c.name).cast(c.dataType).alias(c.name) for c in schema.fields]).withColumn(
             "bucket", _bucket(F.col(files.key), files.buckets))
-        dealt.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(path)
+        adaptive = rows.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+        dealt = dealt.hint("rebalance", "bucket") if adaptive else dealt.repartition("bucket")
+        dealt.write.partitionBy("bucket").parquet(path)
         return {int(n.split("=")[1]): name for n in self._names(f"data/write={name}") if n.startswith("bucket=")}
 
     def _put(self, version: Version) -> bool:
