@@ -30,12 +30,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platematch.functions.skew import left_lookup
 from platematch.llm.batches import slices, split_words
-from platematch.llm.similar import bit_of, classes_by_links, number_filter
+from platematch.llm.similar import bit_of, classes_by_links, number_filter, rare_prefixes
 from platematch.session import distilled, stage
 
 BLANKS = " \t\n\x0b\x0c\r"
@@ -110,45 +110,17 @@ def described(documents: DataFrame, size: int, percent: int) -> DataFrame:
 
 
 def prefix_postings(described_docs: DataFrame, percent: int) -> DataFrame:
-    """(key, item, n, early): the tokens of each class's prefix that another class has as well."""
+    """(key, item, n, early, slack): the tokens of each class's prefix that another class has as well."""
     sets = described_docs.where(F.col("class").isNotNull()).select(F.col("class").alias("item"), "n", "small", "region", "more")
-    small = _rarest(sets.where(F.size("small") > 0), "small", F.lit(0), percent)
-    inside = _rarest(sets.where(F.size("region") > 0), "region", F.lit(0), percent)
+    small = rare_prefixes(sets.where(F.size("small") > 0), "small", F.lit(0), percent)
+    inside = rare_prefixes(sets.where(F.size("region") > 0), "region", F.lit(0), percent)
     # Only sets with too few tokens in the region look beyond it, and all of those do so with all their tokens.
-    beyond = _rarest(sets.where(F.size("more") > 0), "more", F.size("region"), percent)
+    beyond = rare_prefixes(sets.where(F.size("more") > 0), "more", F.size("region"), percent)
     # Two orders, two sets of keys.
     small = small.withColumn("key", F.col("key").bitwiseXOR(F.lit(0x5DEECE66D)))
     return small.unionByName(inside).unionByName(beyond)
 
 
-def _rarest(sets: DataFrame, tokens: str, before: Column, percent: int) -> DataFrame:
-    """(key, item, n, early): what several classes have of the prefix of each set, rare tokens first.
-
-    ``before`` tokens come ahead of those in the column ``tokens``, and of these
-    the ones that no other class has.  A place is early if it is within the first
-    ``n - ceil(2 t / (1 + t) n) + 1``, where the smaller of two linked sets must
-    meet the other.
-    """
-    rows = sets.select("item", "n", F.size(tokens).alias("size"), before.alias("before"), F.explode(tokens).alias("key"))
-    shared = rows.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last"),
-                                     F.count(F.lit(1)).alias("rows")).where(
-        F.col("_first") != F.col("_last")).select("key", "rows")
-    # Copies of a class bring the same rows; the set is as large as one document's tokens.
-    met = rows.join(shared, "key").groupBy("item", "n", "size", "before").agg(
-        F.sort_array(F.collect_set(F.struct("rows", "key"))).alias("shared"))
-
-    def first(share: Column) -> Column:
-        return F.col("n") - F.ceil(F.col("n") * share).cast("long") + 1
-
-    ahead = F.col("before") + F.col("size") - F.size("shared")
-    kept = met.select("item", "n", ahead.alias("ahead"), F.slice(
-        "shared", 1, F.greatest(F.lit(0), first(F.lit(percent) / 100) - ahead).cast("int")).alias("shared"))
-    placed = kept.select("item", "n", "ahead", F.posexplode("shared").alias("at", "s"))
-    # A little under the exact share: rounding must not lose a place.
-    return placed.select("s.key", "item", "n", (
-        F.col("ahead") + F.col("at") + 1 <= first(F.lit(2 * percent / (100 + percent) - 1e-9))).alias("early"))
-
-
 def _bytes_to_set(data: bytes) -> np.ndarray:
     return np.frombuffer(data, np.int64)
 

@@ -34,6 +34,7 @@ from platematch.llm.similar import bit_of, classes_by_links, number_filter, shar
 from platematch.session import distilled, stage
 
 SHINGLE, BANDS, ROWS = 8, 12, 5
+CROWD = 16  # groups under one band from which on they meet by the prefix rule
 BLANKS = " \t\n\x0b\x0c\r"
 _SEEN = 1_000_000
 _BLOCK = 1 << 15  # shingles mixed at a time, or one line
@@ -170,7 +171,7 @@ def duplicate_lines(docs: DataFrame, percent: int) -> DataFrame:
     postings = stage(postings.join(shared_keys(postings), "key").distinct().select(
         "key", "item", F.lit(0).alias("n"), F.lit(True).alias("early")), "postings")
     texts = stage(line_texts(docs, stage(postings.select("item").distinct(), "wanted")), "texts")
-    roots = classes_by_links(postings, texts, shingle_set, percent)
+    roots = classes_by_links(postings, texts, shingle_set, percent, crowd=CROWD)
     places = places.select("item", "doc_key", F.struct("doc_id", "doc_key", "line_no").alias("place"))
     first = places.groupBy("item").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("n"))
     rooted = first.join(roots.withColumnRenamed("node", "item"), "item", "left").select(

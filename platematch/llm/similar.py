@@ -1,8 +1,10 @@
 """Sets, links and components: what the similarity operators share.
 
-A posting (key, item, n, early) says that an item of size ``n`` is found under a
-key.  ``early`` keys are those under which the smaller of two linked items must
-be found at least once.  Items are named by a 64-bit number, sets are sorted
+A posting (key, item, n, early, slack) says that an item of size ``n`` is found
+under a key.  ``early`` keys are those under which the smaller of two linked items
+must be found at least once.  ``slack`` is 100 n - (100 + percent) place, where
+``place`` tokens of the item come before the key; of two linked items neither has
+less than percent times the other's size under the first key that they share.  Items are named by a 64-bit number, sets are sorted
 arrays of 64-bit hashes.
 """
 
@@ -13,13 +15,14 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platematch.llm.batches import gather
 from platematch.session import stage
 
 ToSet = Callable[[bytes], np.ndarray]
+CENTERS = 2  # rounds in which the items of crowds are compared with centers of other groups
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -59,6 +62,11 @@ def _settled(edges: DataFrame) -> bool:
     return not loose.take(1) and not chained.limit(1).take(1)
 
 
+def _with_slack(postings: DataFrame) -> DataFrame:
+    """Postings with the slack of a first place where they do not tell any."""
+    return postings if "slack" in postings.columns else postings.withColumn("slack", 100 * F.col("n"))
+
+
 def shared_keys(postings: DataFrame) -> DataFrame:
     """(key) of keys with at least two items."""
     return postings.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last")).where(
@@ -76,6 +84,23 @@ def closest_centers(postings: DataFrame) -> DataFrame:
     centers = found.join(held, "item").groupBy("key").agg(
         F.max(F.struct("held", "item"))["item"].alias("center"))
     met = found.join(centers, "key").where(F.col("item") != F.col("center"))
+    return _most_met(met)
+
+
+def slack_centers(postings: DataFrame, groups: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each item with the center of another group that it meets under most keys with room for a link.
+
+    A key's center is the item with the fewest tokens before it.
+    """
+    found = postings.join(groups, "item").select("key", "item", "n", "slack", "group")
+    centers = found.groupBy("key").agg(F.max(F.struct("slack", "n", "item", "group")).alias("c"))
+    met = found.join(centers, "key").where(
+        (F.col("group") != F.col("c.group")) & (F.col("slack") >= percent * F.col("c.n"))
+        & (F.col("c.slack") >= percent * F.col("n"))).select("item", F.col("c.item").alias("center"))
+    return _most_met(met)
+
+
+def _most_met(met: DataFrame) -> DataFrame:
     return met.groupBy("item", "center").agg(F.count(F.lit(1)).alias("n")).groupBy("item").agg(
         F.max(F.struct("n", "center"))["center"].alias("center")).select(
         F.col("item").alias("a"), F.col("center").alias("b"))
@@ -140,6 +165,63 @@ def open_group(members: list[np.ndarray], queries: list[np.ndarray], percent: in
             yield q, int(links[0])
 
 
+def rare_prefixes(sets: DataFrame, tokens: str, before: Column, percent: int) -> DataFrame:
+    """(key, item, n, early, slack): what several classes have of the prefix of each set, rare tokens first.
+
+    ``before`` tokens come ahead of those in the column ``tokens``, and of these
+    the ones that no other class has.  A place is early if it is within the first
+    ``n - ceil(2 t / (1 + t) n) + 1``, where the smaller of two linked sets must
+    meet the other.
+    """
+    rows = sets.select("item", "n", F.size(tokens).alias("size"), before.alias("before"), F.explode(tokens).alias("key"))
+    shared = rows.groupBy("key").agg(F.min("item").alias("_first"), F.max("item").alias("_last"),
+                                     F.count(F.lit(1)).alias("rows")).where(
+        F.col("_first") != F.col("_last")).select("key", "rows")
+    # Copies of a class bring the same rows; the set is as large as one document's tokens.
+    met = rows.join(shared, "key").groupBy("item", "n", "size", "before").agg(
+        F.sort_array(F.collect_set(F.struct("rows", "key"))).alias("shared"))
+
+    def first(share: Column) -> Column:
+        return F.col("n") - F.ceil(F.col("n") * share).cast("long") + 1
+
+    ahead = F.col("before") + F.col("size") - F.size("shared")
+    kept = met.select("item", "n", ahead.alias("ahead"), F.slice(
+        "shared", 1, F.greatest(F.lit(0), first(F.lit(percent) / 100) - ahead).cast("int")).alias("shared"))
+    placed = kept.select("item", "n", "ahead", F.posexplode("shared").alias("at", "s"))
+    # A little under the exact share: rounding must not lose a place.
+    place = F.col("ahead") + F.col("at")
+    return placed.select(
+        "s.key", "item", "n", (place + 1 <= first(F.lit(2 * percent / (100 + percent) - 1e-9))).alias("early"),
+        (100 * F.col("n") - (100 + percent) * place).alias("slack"))
+
+
+def crowds_parted(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set: ToSet, percent: int,
+                  most: int) -> tuple[DataFrame, DataFrame]:
+    """Postings of the keys that at most ``most`` groups share, and others in place of those of crowded keys.
+
+    Items that a crowd holds are found under the rare tokens of their own
+    prefixes instead.  By the prefix rule no alike pair of them is lost, and a
+    pair that only has in common what the whole crowd has no longer meets.
+    """
+    placed = stage(postings.join(groups, "item"), "placed")
+    crowds = stage(placed.select("key", "group").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("_groups")).where(
+        F.col("_groups") > most).select("key"), "crowds")
+    held = postings.join(crowds, "key", "left_semi").select("item").distinct()
+
+    def tokens(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            found = [to_set(data) for data in batch.column("data").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("item"), pa.array([len(x) for x in found], pa.int64()),
+                 pa.array(found, pa.list_(pa.int64()))], ["item", "n", "tokens"])
+
+    told = stage(sets.select("item", "data").join(held, "item", "left_semi").mapInArrow(
+        tokens, "item long, n long, tokens array<long>"), "crowd_tokens")
+    parted = rare_prefixes(told, "tokens", F.lit(0), percent).withColumn(
+        "key", F.col("key").bitwiseXOR(F.lit(0x3C6EF372FE94F82B)))
+    return postings.join(crowds, "key", "left_anti"), stage(parted, "parted")
+
+
 def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set: ToSet, percent: int,
                 member_rows: int = 128, query_rows: int = 512, call_rows: int = 1000) -> DataFrame:
     """(a, b): an alike pair for every item and group of another component that share a key and hold one.
@@ -147,14 +229,15 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
     ``groups`` (item, group) are sets of items known to be connected, so one link
     joins an item to all of a group.  Of two items with a common key the larger
     one asks the group of the smaller, if the key is ``early`` for that one; of a
-    group, the smallest and largest size ``n`` with an early key tell whether a
-    link is possible.  Groups with many members or many askers are cut into cells
+    group, the smallest size ``n`` and the largest ``slack`` with an early key tell
+    whether a link is possible.  Groups with many members or many askers are cut into cells
     of bounded size; each asker meets each member in one cell.
     """
-    placed = stage(postings.join(groups, "item"), "placed")
+    placed = stage(_with_slack(postings).join(groups, "item"), "placed")
     early = placed.where("early").groupBy("key", F.col("group").alias("asked")).agg(
-        F.min("n").alias("least"), F.max("n").alias("most"))
-    sized = (F.col("least") <= F.col("n")) & (100 * F.col("most") >= percent * F.col("n"))
+        F.min("n").alias("least"), F.max("slack").alias("most"))
+    sized = (F.col("least") <= F.col("n")) & (F.col("most") >= percent * F.col("n")) & (
+        F.col("slack") >= percent * F.col("least"))
     asked = stage(placed.join(early, (placed["key"] == early["key"]) & (F.col("group") != F.col("asked")) & sized)
                   .select("item", F.col("asked").alias("group")).distinct(), "asked")
     sizes = asked.groupBy("group").agg(F.count(F.lit(1)).alias("askers")).join(
@@ -190,21 +273,35 @@ def group_links(postings: DataFrame, groups: DataFrame, sets: DataFrame, to_set:
         cells(asked, "slots", "rows").select(calls, "*").groupBy("call")).applyInPandas(search, "a long, b long")
 
 
-def classes_by_links(postings: DataFrame, sets: DataFrame, to_set: ToSet, percent: int) -> DataFrame:
+def classes_by_links(postings: DataFrame, sets: DataFrame, to_set: ToSet, percent: int,
+                     crowd: int | None = None) -> DataFrame:
     """(node, root) over all items with a link; no link among items that share a key is missed.
 
     Near the center first: each item is compared with the center it meets most,
     which makes the groups; then items and the groups of others they share a key with.
+    Keys that more than ``crowd`` groups share give way to rare tokens, which bring
+    centers of their own (``crowds_parted``).
     """
     stars = stage(linked(closest_centers(postings), sets, to_set, percent), "stars")
-    found = stage(components(stars), "groups")
-    groups = postings.select("item").distinct().join(
-        found.select(F.col("node").alias("item"), F.col("root").alias("group")), "item", "left").select(
-        "item", F.coalesce("group", "item").alias("group"))
-    links = stage(group_links(postings, stage(groups, "groups"), sets, to_set, percent), "links")
+    items = postings.select("item").distinct()
+    groups = _groups(items, stars)
+    if crowd is not None:
+        light, parted = crowds_parted(postings, groups, sets, to_set, percent, crowd)
+        for _ in range(CENTERS):
+            near = linked(slack_centers(parted, groups, percent), sets, to_set, percent)
+            stars = stage(stars.unionByName(near), "stars")
+            groups = _groups(items, stars)
+        postings = _with_slack(light).unionByName(parted)
+    links = stage(group_links(postings, groups, sets, to_set, percent), "links")
     return components(stars.unionByName(links))
 
 
+def _groups(items: DataFrame, stars: DataFrame) -> DataFrame:
+    """(item, group) of every item."""
+    found = stage(components(stars), "groups").select(F.col("node").alias("item"), F.col("root").alias("group"))
+    return stage(items.join(found, "item", "left").select("item", F.coalesce("group", "item").alias("group")), "groups")
+
+
 # A fixed-size filter over numbers: one bit of 2^BITS each, so its size never grows.
 BLOOM_BITS = 24
 
