@@ -4,6 +4,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from platematch.llm import decontaminate, jaccard, langid, lines, packing, repeats, similar, toxicity
@@ -59,6 +60,32 @@ def test_repeats_of_blocks_and_ranges(spark, monkeypatch):
     assert got == without_repeats(rows)
 
 
+def test_short_texts_are_hashed_together(monkeypatch):
+    texts = [p + " " + q for p, q in zip(prose(5, 900, 40), prose(6, 900, 40))]
+    texts = [" ".join(texts[k:k + 1 + k % 9]) for k in range(900)]
+    rows = pa.RecordBatch.from_pydict({"doc_id": [k // 2 for k in range(900)], "key": [b"%d" % k for k in range(900)], "text": texts})
+    calls, hashes = [], repeats._gram_hashes
+    monkeypatch.setattr(repeats, "_gram_hashes", lambda data, seed: calls.append(len(data)) or hashes(data, seed))
+
+    def filtered():
+        found = defaultdict(list)
+        for batch in repeats._filter_batches(iter([rows]), 24, 6):
+            for bucket, rest in zip(*(c.to_pylist() for c in batch.columns)):
+                found[bucket] += np.frombuffer(rest, "<u4").tolist()
+        return {b: sorted(v) for b, v in found.items()}
+
+    together = filtered(), [
+        r for b in repeats._passage_batches(iter([rows]), 24, np.full(1 << 13, 0x55, np.uint8), 16) for r in b.to_pylist()]
+    assert len(calls) == 2
+    monkeypatch.setattr(repeats, "SLAB_BYTES", 1)  # each text by itself, as documents go on from one part to the next
+    alone = filtered(), [
+        r for b in repeats._passage_batches(iter([rows]), 24, np.full(1 << 13, 0x55, np.uint8), 16) for r in b.to_pylist()]
+    assert together == alone and len(calls) > 500 and len(alone[1]) > 500
+    data = {r["key"]: r["text"] for r in rows.to_pylist()}
+    for r in alone[1]:
+        assert r["text"] is None or r["text"] == data[r["key"]].encode()[r["start"]:r["start"] + r["n"] + repeats.WIDTH - 1]
+
+
 def test_repeats_ties_nulls_and_names(spark):
     text = " ".join(prose(3, 60))
     rows = [(1, text, 5), (1, text, 6), (1, text + "!", 7), (None, text, 8), (2, text, 9), (2, text, 9)]
